@@ -1,0 +1 @@
+"""Empty on purpose: the workload is batch only, with no stream source, window or state."""
