@@ -6,8 +6,13 @@ from pyspark.sql import Column, functions as F
 
 
 def to_number(col: Column) -> Column:
-    """Text to double; text that is not a number becomes NULL."""
-    return col.try_cast("double")
+    """Text to double; text that is not a number becomes NULL.
+
+    As in DuckDB, underscores may part digits (``1_000``), and a type suffix (``1.0d``, ``1f``), which
+    Spark's cast would take, is no number.
+    """
+    digits = F.when(F.contains(col, F.lit("_")), F.regexp_replace(col, r"(?<=[0-9])_(?=[0-9])", "")).otherwise(col)
+    return F.when(~digits.rlike(r"[0-9.][dDfF]\s*$"), digits.try_cast("double"))
 
 
 def zero_fill(col: Column) -> Column:
@@ -15,7 +20,11 @@ def zero_fill(col: Column) -> Column:
 
 
 def round5(col: Column) -> Column:
-    return F.round(col, 5)
+    """Five decimals, rounded as DuckDB rounds a double: scaled, to the nearest whole, scaled back.
+
+    Rounding the decimal text of the double, as Spark does, gives other results at some ties.
+    """
+    return F.round(col * 100000.0) / 100000.0
 
 
 def whole(col: Column) -> Column:

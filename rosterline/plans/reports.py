@@ -31,10 +31,10 @@ TAIL = (*PLACE, *UNIT, *LEAD, *UNIT_HEAD)
 class Weights:
     """How much of a fulfilled and of an open demand counts towards projected FTE."""
 
-    billed_fulfilled: Decimal = Decimal("0.5")
-    billed_open: Decimal = Decimal("0.2")
-    total_fulfilled: Decimal = Decimal("1.0")
-    total_open: Decimal = Decimal("0.5")
+    billed_fulfilled: float = 0.5
+    billed_open: float = 0.2
+    total_fulfilled: float = 1.0
+    total_open: float = 0.5
 
 
 def from_sources(attribute: str, sources: Sequence[Source]) -> list[tuple[Source, str]]:
@@ -244,9 +244,13 @@ def _add_flows(df: DataFrame) -> DataFrame:
     })
 
 
-def _projected(previous: Column, fulfilled: Decimal, opened: Decimal) -> Column:
+def _projected(previous: Column, fulfilled: float, opened: float) -> Column:
     """Previous FTE, plus weighted demand, less those who leave."""
-    gained = previous + F.lit(fulfilled) * F.col("demands_fulfilled") + F.lit(opened) * F.col("open_demands")
+
+    def weight(value: float) -> Column:
+        return F.lit(Decimal(str(value)))  # exact where the count it multiplies is whole
+
+    gained = previous + weight(fulfilled) * F.col("demands_fulfilled") + weight(opened) * F.col("open_demands")
     return gained - F.col("attr_count") - F.col("release_count")
 
 
@@ -261,7 +265,7 @@ def report_grain4_d8(tables: Tables, form: str = "one_shuffle") -> DataFrame:
         "previous": zero_fill(F.col("prev_mon_billed_fte")),
         "d_cost": round5(F.col("Cost").cast("double")),
     })
-    df = df.withColumn("eff_billed_fte", round5(_projected(F.col("previous"), Decimal("1.0"), Decimal("0.5"))))
+    df = df.withColumn("eff_billed_fte", round5(_projected(F.col("previous"), 1.0, 0.5)))
     return df.select(
         PROJECT, "project_name", "project_type", "project_billability", PRACTICE, LOCATION, GRADE,
         "customer_id", "customer_name", "parent_customer_id", "parent_customer_name", "BU", *_FLOW_OUTPUTS,
