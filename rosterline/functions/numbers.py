@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+BLANKS = " \t\n\r\v\f"
+
 
 def to_number(col: Column) -> Column:
     """Text to double; text that is not a number becomes NULL.
@@ -12,7 +14,9 @@ def to_number(col: Column) -> Column:
     Spark's cast would take, is no number.
     """
     digits = F.when(F.contains(col, F.lit("_")), F.regexp_replace(col, r"(?<=[0-9])_(?=[0-9])", "")).otherwise(col)
-    return F.when(~digits.rlike(r"[0-9.][dDfF]\s*$"), digits.try_cast("double"))
+    last = F.right(F.rtrim(digits, F.lit(BLANKS)), F.lit(1))
+    suffixed = last.isin("d", "D", "f", "F") & ~F.contains(F.lower(digits), F.lit("inf"))
+    return F.when(~suffixed, digits.try_cast("double"))
 
 
 def zero_fill(col: Column) -> Column:

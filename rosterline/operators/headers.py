@@ -25,14 +25,15 @@ def find_header(df: DataFrame, *headers: str) -> str:
     Case never matters. A header that differs only in blanks, underscores or dots is taken when there
     is no closer one, so ``Project Id``, ``project_id`` and ``PROJECT ID`` are one column.
     """
+    names = df.schema.names
     for same in (str.lower, _plain):
         for header in headers:
-            found = [name for name in df.columns if same(name) == same(header)]
+            found = [name for name in names if same(name) == same(header)]
             if len(found) == 1:
                 return found[0]
             if len(found) > 1:
                 raise ValueError(f"header {header!r} is ambiguous: {found}")
-    raise ValueError(f"none of the headers {list(headers)} is among {df.columns}")
+    raise ValueError(f"none of the headers {list(headers)} is among {names}")
 
 
 def pick(df: DataFrame, *headers: str) -> Column:

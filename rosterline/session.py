@@ -22,6 +22,10 @@ def get_session(master: str | None = None, app_name: str = "rosterline", **conf)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
+        # A report compiles some dozens of stages; keep them for the next run.
+        "spark.sql.codegen.cache.maxEntries": "1000",
+        # Recording the call site of every expression is half the time it takes to build a report.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     settings.update({key.replace("__", "."): str(value) for key, value in conf.items()})
     for key, value in settings.items():

@@ -134,7 +134,7 @@ REPORT_TABLES = {
     **{name: name for name in LOOKUPS},
 }
 
-_staged: dict[tuple[str, str], str] = {}
+_staged: dict[tuple[str, str], dict[str, DataFrame]] = {}
 
 
 def raw(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -157,16 +157,19 @@ def _derive(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {"base": base} | {name: _run(spark, text, **given) for name, text in LOOKUPS.items()}
 
 
-def _stage(spark: SparkSession, sf_dir: str) -> str:
+def _stage(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Write the derived tables once: the line items by role, so that each fact reads only its own."""
     folder = fresh_path(spark, "inputs")
+
+    def stored(name: str, df: DataFrame, *partition_by: str) -> DataFrame:
+        df.write.partitionBy(*partition_by).parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
     derived = _derive(spark, sf_dir)
-    derived["base"].write.partitionBy("role").parquet(f"{folder}/base")
-    costs = _run(spark, FACTS["cost_file"], base=spark.read.parquet(f"{folder}/base"))
-    for name, df in {**derived, "cost_file": costs}.items():
-        if name != "base":
-            df.write.parquet(f"{folder}/{name}")
-    return folder
+    base = stored("base", derived.pop("base"), "role")
+    facts = {name: _run(spark, text, base=base) for name, text in FACTS.items()}
+    derived["cost_file"] = facts.pop("cost_file")
+    return {"base": base, **facts, **{name: stored(name, df) for name, df in derived.items()}}
 
 
 def inputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -178,11 +181,7 @@ def inputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _staged:
         _staged[key] = _stage(spark, sf_dir)
-    folder = _staged[key]
-    base = spark.read.parquet(f"{folder}/base")
-    stored = {name: spark.read.parquet(f"{folder}/{name}") for name in (*LOOKUPS, "cost_file")}
-    facts = {name: _run(spark, text, base=base) for name, text in FACTS.items() if name != "cost_file"}
-    return {"base": base, **stored, **facts}
+    return _staged[key]
 
 
 def report_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
