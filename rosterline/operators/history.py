@@ -19,7 +19,8 @@ def append_if_absent(target: DataFrame, new: DataFrame, key: str) -> DataFrame:
         keyed = keyed.groupBy(column(new, key)).agg(first).select(column(new, key), "__rest.*")
     else:
         keyed = keyed.distinct()
-    absent = keyed.join(target.select(column(target, key)), key, "left_anti")
+    known = target.select(column(target, key)).filter(column(target, key).isNotNull()).distinct()
+    absent = keyed.join(known, key, "left_anti")
     return target.unionByName(absent).unionByName(new.filter(column(new, key).isNull()))
 
 

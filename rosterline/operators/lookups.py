@@ -15,6 +15,7 @@ from rosterline.functions import any_non_null
 from rosterline.operators.headers import pick
 
 _KEY = "__lookup_key_{}"
+_HASH = "__lookup_hash"
 
 
 def lookup(df: DataFrame, table: DataFrame, on: Mapping[str, Column], values: Mapping[str, str]) -> DataFrame:
@@ -39,8 +40,15 @@ def unique_map(table: DataFrame, key: str, values: Mapping[str, str]) -> DataFra
 
 
 def lookup_unique(df: DataFrame, table: DataFrame, key: str, on: Column, values: Mapping[str, str]) -> DataFrame:
-    """``lookup`` on a table made unique first, so that it cannot repeat rows."""
-    return lookup(df, unique_map(table, key, values), {key: on}, {name: name for name in values})
+    """``lookup`` on a table made unique first, so that it cannot repeat rows.
+
+    The hash of the key adds nothing to the match. With it the unique rows are exchanged for the join,
+    rather than joined in the partitions they were grouped in, and only between two exchanged sides does
+    adaptive execution split the partition of a hot or missing key.
+    """
+    unique = unique_map(table, key, values)
+    hashed = unique.withColumn(_HASH, F.xxhash64(pick(unique, key)))
+    return lookup(df, hashed, {key: on, _HASH: F.xxhash64(on)}, {name: name for name in values})
 
 
 def audit_duplicates(table: DataFrame, key: str) -> DataFrame:

@@ -54,6 +54,11 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def workspace(spark: SparkSession) -> str:
     """Create a database whose tables live in the shared folder; returns its name."""
     name = f"staffing_{uuid.uuid4().hex[:12]}"

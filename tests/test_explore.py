@@ -73,3 +73,29 @@ def test_lookups(spark):
     unique = lookup_unique(df, table, "Key Id", F.col("k"), {"value": "The Value"})
     assert rows(unique) == [("a", "1"), ("b", None), (None, None)]
     assert [tuple(row) for row in audit_duplicates(table, "Key Id").collect()] == [("a", 2)]
+
+
+def test_hot_and_missing_lookup_keys_are_split(spark):
+    """A third of the rows on one key and a third on none, in a lookup too large to broadcast."""
+    third = F.col("id") % 3
+    key = F.when(third == 0, "hot").when(third == 1, F.col("id").cast("string"))
+    rows_ = spark.range(90_000).select(key.alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("pay"))
+    table = spark.range(30_000).select(F.when(F.col("id") == 0, "hot").otherwise(F.col("id").cast("string")).alias("key"), F.lit("x").alias("v"))
+    small = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50k",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {name: spark.conf.get(name) for name in small}
+    for name, value in small.items():
+        spark.conf.set(name, value)
+    try:
+        joined = lookup_unique(rows_, table.union(table), "key", F.col("k"), {"v": "v"})
+        found = joined.collect()
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert len(found) == 90_000 and sum(row["v"] is not None for row in found) == 30_000 + 10_000
+    assert "SortMergeJoin(skew=true)" in plan

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rosterline.session import fresh_path
+from rosterline.session import fresh_path, path_exists
 
 RAW_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "conversations",
@@ -134,7 +134,7 @@ REPORT_TABLES = {
     **{name: name for name in LOOKUPS},
 }
 
-_staged: dict[tuple[str, str], dict[str, DataFrame]] = {}
+_staged: dict[tuple[str, str], tuple[str, dict[str, DataFrame]]] = {}
 
 
 def raw(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -157,7 +157,7 @@ def _derive(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {"base": base} | {name: _run(spark, text, **given) for name, text in LOOKUPS.items()}
 
 
-def _stage(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def _stage(spark: SparkSession, sf_dir: str) -> tuple[str, dict[str, DataFrame]]:
     """Write the derived tables once: the line items by role, so that each fact reads only its own."""
     folder = fresh_path(spark, "inputs")
 
@@ -169,7 +169,7 @@ def _stage(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     base = stored("base", derived.pop("base"), "role")
     facts = {name: _run(spark, text, base=base) for name, text in FACTS.items()}
     derived["cost_file"] = facts.pop("cost_file")
-    return {"base": base, **facts, **{name: stored(name, df) for name, df in derived.items()}}
+    return folder, {"base": base, **facts, **{name: stored(name, df) for name, df in derived.items()}}
 
 
 def inputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -179,9 +179,9 @@ def inputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     the shared folder and later calls read them.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _staged:
+    if key not in _staged or not path_exists(spark, _staged[key][0]):
         _staged[key] = _stage(spark, sf_dir)
-    return _staged[key]
+    return _staged[key][1]
 
 
 def report_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

@@ -363,7 +363,7 @@ def _query_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalog.replace_view(spark, "console_customer", raw(spark, sf_dir, "customer"))
     texts = {
         "by_segment": "SELECT c_mktsegment, COUNT(*) AS customers FROM console_customer GROUP BY c_mktsegment",
-        "nothing": "SELECT * FROM console_customer WHERE c_custkey < 0",
+        "nothing": "SELECT * FROM console_customer WHERE c_mktsegment = 'NO SUCH SEGMENT'",
         "bad_column": "SELECT no_such_column FROM console_customer",
     }
     outcomes = {name: explore.query_status(spark, text) for name, text in texts.items()}
