@@ -18,7 +18,7 @@ _HEADCOUNT_ATTRIBUTES = {
     "project_type": ("Project Type",),
     "project_billability": ("Project Billability",),
     "customer_name": ("Customer Name",),
-    "parent_customer_id": ("ParentCustomerID", "Parent Customer ID"),
+    "parent_customer_id": ("ParentCustomerID",),
     "parent_customer": ("Parent Customer",),
 }
 

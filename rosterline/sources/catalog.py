@@ -22,6 +22,13 @@ def read_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(_identifier(name))
 
 
+def catalog_tables(spark: SparkSession, database: str | None = None) -> dict[str, DataFrame]:
+    """Every table of the database by name, as the reports take them."""
+    prefix = f"{database}." if database else ""
+    found = [t.name for t in spark.catalog.listTables(database) if t.tableType not in ("VIEW", "TEMPORARY")]
+    return {name: read_table(spark, prefix + name) for name in found}
+
+
 def replace_table(spark: SparkSession, name: str, df: DataFrame) -> DataFrame:
     """Create the table, or replace it with its schema; ``df`` may read the table itself.
 

@@ -21,8 +21,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 # Executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SHEET_ROWS = 1_048_576
 BATCH_ROWS = 10_000
+# The row limit of a sheet and the name of the sheet in an export.
+SHEET_ROWS = 1_048_576
 EXPORT_SHEET = "Ops-Data"
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"

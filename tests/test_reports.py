@@ -55,12 +55,12 @@ def tables(spark):
     releases = flow([(*key, "0.5"), ("nowhere", "Data", "Pune", "G1", "Cloud", "9")], "Grade", "`Department Name`", "`Impact FTE`")
     return {
         "utilization_prediction_report": frame(
-            [person("one"), person("one", billed="bad", associate=None), person("null", dept=None), person("bad", billed="x")],
+            [person("one"), person("one", billed="bad", associate=None), person("nodept", dept=None), person("bad", billed="x")],
             HEADCOUNT,
         ),
         "previous_month_actual": frame(
             [person("one", billed="2", total="3"), person("closed", billed="4", total="4"), person("bad", billed="x", total=None),
-             person("null", dept=None, billed="7", total="7")],
+             person("nodept", dept=None, billed="7", total="7")],
             HEADCOUNT,
         ),
         "demand_base": frame([demand("one"), demand("one"), demand("wanted", account="C1")], DEMANDS),
@@ -94,7 +94,7 @@ def test_both_forms_agree(spark, tables, report):
 
 def test_headline_values(tables):
     found = by_project(reports.report_grain5_d15(tables))
-    assert set(found) == {"one", "null", "bad", "closed", "wanted"}  # "nowhere" only left, and is lost
+    assert set(found) == {"one", "nodept", "bad", "closed", "wanted"}  # "nowhere" only left, and is lost
     one = found["one"]
     assert (one["release_count"], one["attr_count"], one["open_demands"], one["demands_fulfilled"]) == (0.5, 0.25, 2, 2.5)
     assert one["eff_billed_fte"] == pytest.approx(2 + 0.5 * 2.5 + 0.2 * 2 - 0.25 - 0.5)
@@ -105,7 +105,7 @@ def test_headline_values(tables):
 
 
 def test_null_key_keeps_row_without_values(tables):
-    row = by_project(reports.report_grain5_d15(tables))["null"]
+    row = by_project(reports.report_grain5_d15(tables))["nodept"]
     assert row["prev_mon_billed_fte"] == 0 and row["project_name"] is None and row["BU"] is None
     assert row["Country"] == "India" and row["std_cost"] == 10.0  # lookups on the key itself still match
 
@@ -133,7 +133,7 @@ def test_missing_cost_and_strict_cost(spark, tables):
 
 def test_closed_projects(tables):
     v4 = by_project(reports.report_v4(tables, dt.date(2025, 1, 31)))
-    assert set(v4) == {"one", "null", "bad", "closed"}
+    assert set(v4) == {"one", "nodept", "bad", "closed"}
     closed = v4["closed"]
     assert closed["project_name"] == "Closed Project" and closed["billed_fte"] == 0
     assert closed["prev_mon_actual_billed_fte"] == 4 and closed["eff_billed_fte"] is None
