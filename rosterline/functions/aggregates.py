@@ -23,12 +23,3 @@ def headcount(col: Column) -> Column:
 def any_non_null(col: Column) -> Column:
     """Some non-null value of the group. The least one, so that reruns agree."""
     return F.min(col)
-
-
-def ranked_any(ranked: Column) -> Column:
-    """Some non-null value from the best-ranked rows that have one.
-
-    ``ranked`` is a (rank, value) struct, NULL where the value is. One column then does the work of
-    one per source, and NULL means no source had a value.
-    """
-    return F.min(ranked)["value"]

@@ -2,7 +2,9 @@
 
 There are two forms with the same result. ``one_shuffle`` unions the narrowed facts and groups them
 once, so each fact is read once, and the one exchange carries a partial row per key and task; a hot key
-is no larger there than any other. ``joined`` summarises each fact, builds the key spine and joins the
+is no larger there than any other. A description travels as a (rank, value) struct, NULL where the value
+is: its least is a value of the best-ranked source that has one, so one column does the work of one per
+source. ``joined`` summarises each fact, builds the key spine and joins the
 summaries to it; it is the plain reading of the report and the check on the first form.
 """
 
@@ -11,11 +13,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
-from operator import and_, or_
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rosterline.functions import ranked_any
 from rosterline.operators.grain import Source, attach, spine, summarise
 from rosterline.operators.headers import column, pick
 
@@ -27,7 +28,7 @@ class Layout:
     """What to bring together.
 
     ``spine`` are the sources that contribute keys, in order of preference. ``measures`` names what to
-    compute from which source. ``attributes`` lists per description the sources to take it from.
+    compute from which source. ``attributes`` lists per description the sources to take it from, the preferred first.
     """
 
     grain: Sequence[str]
@@ -49,16 +50,30 @@ def _present(source: Source) -> str:
     return f"has_{source.table}"
 
 
+def _carriers(layout: Layout) -> dict[str, str]:
+    """Per description, the one that carries it: itself, or one that starts with the same sources and has more."""
+
+    def starts_with(longer: str, shorter: str) -> bool:
+        choices = list(layout.attributes[shorter])
+        return list(layout.attributes[longer])[: len(choices)] == choices
+
+    by_length = sorted(layout.attributes, key=lambda name: -len(layout.attributes[name]))
+    return {name: next(other for other in by_length if starts_with(other, name)) for name in layout.attributes}
+
+
 def _one_shuffle(tables: Tables, layout: Layout) -> DataFrame:
     measures = {name: source.measures[name] for name, source in layout.measures.items()}
+    carriers = _carriers(layout)
+    carried = {name: layout.attributes[name] for name in carriers.values()}
+    bits = {source.table: 1 << i for i, source in enumerate(layout.spine)}
 
     def narrowed(source: Source) -> DataFrame:
         df = tables[source.table]
         columns = source.key_columns(df, layout.grain)
         if source in layout.spine:
-            columns.append(F.lit(1).alias(_present(source)))
+            columns.append(F.lit(bits[source.table]).alias("__present"))
         columns += [measures[name].input(df).alias(name) for name, owner in layout.measures.items() if owner == source]
-        for name, choices in layout.attributes.items():
+        for name, choices in carried.items():
             for rank, (owner, attribute) in enumerate(choices):
                 if owner == source:
                     value = pick(df, *source.attributes[attribute])
@@ -70,15 +85,14 @@ def _one_shuffle(tables: Tables, layout: Layout) -> DataFrame:
         return left.unionByName(right, allowMissingColumns=True)
 
     facts = reduce(together, [narrowed(source) for source in layout.sources])
-    present = [_present(source) for source in layout.spine]
     keys = [column(facts, key) for key in layout.grain]
     # Least values of text are aggregated in key order; with one number first, sorting seldom compares texts.
     keyed = facts.groupBy(F.xxhash64(*keys).alias("__key_hash"), *keys).agg(
-        *[F.count(name).alias(name) for name in present],
+        F.bit_or("__present").alias("__present"),
         *[measures[name].over(F.col(name)).alias(name) for name in measures],
-        *[ranked_any(F.col(name)).alias(name) for name in layout.attributes],
+        *[F.min(name).alias(name) for name in carried],
     )
-    keyed = keyed.filter(reduce(or_, [F.col(name) > 0 for name in present]))
+    keyed = keyed.filter(F.col("__present").isNotNull())
 
     # A key with a NULL in it is on the spine but matches no summary.
     matched = reduce(and_, [column(keyed, key).isNotNull() for key in layout.grain])
@@ -86,12 +100,20 @@ def _one_shuffle(tables: Tables, layout: Layout) -> DataFrame:
     def if_matched(source: Source | None, col: Column) -> Column:
         return col if source is not None and layout.owned(source) else F.when(matched, col)
 
-    lone = layout.spine[0] if len(layout.spine) == 1 else None
+    def is_present(source: Source) -> Column:
+        present = if_matched(source, F.col("__present").bitwiseAND(bits[source.table]) != 0)
+        return F.coalesce(present, F.lit(False)).alias(_present(source))
+
+    def description(name: str) -> Column:
+        best, choices = F.col(carriers[name]), layout.attributes[name]
+        value = best["value"] if carriers[name] == name else F.when(best["rank"] < len(choices), best["value"])
+        return if_matched(layout.spine[0] if len(layout.spine) == 1 else None, value).alias(name)
+
     return keyed.select(
         *[column(keyed, key) for key in layout.grain],
-        *[F.coalesce(if_matched(source, F.col(_present(source)) > 0), F.lit(False)).alias(_present(source)) for source in layout.spine],
+        *[is_present(source) for source in layout.spine],
         *[if_matched(source, F.col(name)).alias(name) for name, source in layout.measures.items()],
-        *[if_matched(lone, F.col(name)).alias(name) for name in layout.attributes],
+        *[description(name) for name in layout.attributes],
     )
 
 
