@@ -9,12 +9,14 @@ import datetime as dt
 import io
 import re
 import sys
+import uuid
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
 import pandas as pd
+from pyarrow import fs
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -260,3 +262,28 @@ def to_workbooks(df: DataFrame, name: str, sheet_rows: int = SHEET_ROWS) -> Data
 
     text = df.select(*[F.col("`" + column.replace("`", "``") + "`").cast("string").alias(column) for column in header])
     return text.mapInPandas(pack, "path string, content binary")
+
+
+def empty_workbook(spark: SparkSession, header: list[str], name: str) -> DataFrame:
+    """A workbook file with nothing but the header."""
+    return spark.createDataFrame([(f"{name}.xlsx", _Writer(header).content())], "path string, content binary")
+
+
+def save_workbooks(files: DataFrame, folder: str) -> int:
+    """Write workbook files to a folder, given as a URI, that all executors share; returns how many.
+
+    Each file gets its name when it is complete, so a task that is run again replaces it whole.
+    """
+
+    def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place, root = fs.FileSystem.from_uri(folder)
+        place.create_dir(root, recursive=True)
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                unfinished = f"{root}/_{uuid.uuid4().hex}"
+                with place.open_output_stream(unfinished) as out:
+                    out.write(content)
+                place.move(unfinished, f"{root}/{path}")
+            yield pd.DataFrame({"saved": [len(batch)]})
+
+    return files.select("path", "content").mapInPandas(save, "saved long").agg(F.sum("saved")).head()[0] or 0

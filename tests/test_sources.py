@@ -144,6 +144,19 @@ def test_export(spark, tmp_path, file_format):
         assert rows(back) == rows(as_text(data))
 
 
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_export_workbooks(spark, tmp_path, scheme):
+    df = spark.createDataFrame([("a\nb", None), ("ü", "1")], "x string, `y z` string").repartition(2)
+    export_rows(df, f"{scheme}{tmp_path}/full", "xlsx")
+    assert rows(read_text(spark, f"{tmp_path}/full/*.xlsx")) == rows(df)
+    assert not [each.name for each in (tmp_path / "full").iterdir() if not each.name.endswith(".xlsx")]
+    with pytest.raises(FileExistsError):
+        export_rows(df, f"{scheme}{tmp_path}/full", "xlsx")
+    export_rows(df.filter("x = 'z'"), f"{scheme}{tmp_path}/empty", "xlsx")
+    assert read_text(spark, f"{tmp_path}/empty/*.xlsx").columns == ["x", "y z"]
+    assert read_text(spark, f"{tmp_path}/empty/*.xlsx").count() == 0
+
+
 def cells(*rows_):
     body = "".join(rows_)
     return f'<worksheet xmlns="{workbooks.MAIN[1:-1]}"><sheetData>{body}</sheetData></worksheet>'
