@@ -17,7 +17,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rosterline.operators.grain import Source, attach, spine, summarise
+from rosterline.operators.grain import Source, attach, spine, summarise, to_grain
 from rosterline.operators.headers import column, pick
 
 Tables = Mapping[str, DataFrame]
@@ -123,11 +123,12 @@ def _joined(tables: Tables, layout: Layout) -> DataFrame:
 
     def summary(source: Source) -> DataFrame:
         measures = [name for name, owner in layout.measures.items() if owner == source]
-        wanted = {attribute for choices in layout.attributes.values() for owner, attribute in choices if owner == source}
-        df = summarise(tables[source.table], source, layout.grain, measures, sorted(wanted)) if measures or wanted else (
-            spine([tables[source.table].select(*source.key_columns(tables[source.table], layout.grain))], layout.grain)
-        )
-        renamed = df.withColumnsRenamed({attribute: own(source, attribute) for attribute in wanted})
+        wanted = sorted({name for choices in layout.attributes.values() for owner, name in choices if owner == source})
+        if measures or wanted:
+            df = summarise(tables[source.table], source, layout.grain, measures, wanted)
+        else:
+            df = to_grain(tables[source.table], source, layout.grain).distinct()
+        renamed = df.withColumnsRenamed({name: own(source, name) for name in wanted})
         return renamed.withColumn(_present(source), F.lit(True)) if source in layout.spine else renamed
 
     summaries = {source.table: summary(source) for source in layout.sources}

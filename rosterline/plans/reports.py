@@ -41,7 +41,8 @@ def from_sources(attribute: str, sources: Sequence[Source]) -> list[tuple[Source
     return [(source, attribute) for source in sources]
 
 
-# Lookups, each adding its columns to the report.
+# Lookups, each adding its columns to the report. The account map may be too large to broadcast, so leads are
+# looked up first, while the rows to exchange are narrow.
 
 
 def add_place(df: DataFrame, tables: Tables, location: Column) -> DataFrame:
@@ -95,9 +96,9 @@ def report_v1(tables: Tables, as_of: dt.date | None = None, form: str = "one_shu
     """Current headcount and FTE. Joins the account map as it is, so repeated accounts repeat rows."""
     layout = _early_layout({"headcount": CURRENT, "billed_fte": CURRENT, "total_fte": CURRENT}, _DESCRIPTIONS)
     df = consolidate(tables, layout, form)
+    df = lookup(df, tables["map_account"], {"Account ID": F.col("account_id")}, LEAD)
     df = add_place(df, tables, F.col(LOCATION))
     df = add_unit(df, tables, F.col("bu_id"))
-    df = lookup(df, tables["map_account"], {"Account ID": F.col("account_id")}, LEAD)
     return df.select(
         PROJECT, "project_name", PRACTICE, LOCATION, GRADE, "project_billability", "account_id", "customer_name",
         "parent_customer_id", "parent_customer", "is_onsite", prediction_date(as_of).alias("prediction_date"),
@@ -124,11 +125,11 @@ def report_v3(tables: Tables, as_of: dt.date | None = None, form: str = "one_shu
     """Adds the previous month, cost, grade map and a unique account map."""
     layout = _early_layout({"billed_fte": CURRENT, "prev_mon_billed_fte": PREVIOUS}, _DESCRIPTIONS)
     df = consolidate(tables, layout, form)
+    df = add_lead(df, tables, F.col("account_id"))
     df = add_place(df, tables, F.col(LOCATION))
     df = add_cost(df, _costs(tables), F.col(PRACTICE), F.col(GRADE))
     df = add_unit(df, tables, F.col("bu_id"))
     df = add_grade(df, tables, F.col(GRADE))
-    df = add_lead(df, tables, F.col("account_id"))
     df = df.withColumns({"release_count": zero_fill(F.col("rel_count")), "open_demands": zero_fill(F.col("dem_count"))})
     df = df.withColumns({
         "eff_billed_fte": F.col("billed_fte") + F.col("open_demands") - F.col("release_count"),
@@ -150,6 +151,7 @@ def report_v4(tables: Tables, as_of: dt.date | None = None, form: str = "one_shu
     """Adds projects closed since last month. All but their keys and previous FTE stays empty."""
     layout = _early_layout({"billed_fte": CURRENT, "prev_mon_billed_fte": PREVIOUS}, _DESCRIPTIONS, HEADCOUNT)
     df = consolidate(tables, layout, form)
+    df = add_lead(df, tables, F.col("account_id"))
 
     def if_open(col: Column) -> Column:
         return F.when(has(CURRENT), col)
@@ -158,7 +160,6 @@ def report_v4(tables: Tables, as_of: dt.date | None = None, form: str = "one_shu
     df = add_cost(df, _costs(tables), if_open(F.col(PRACTICE)), if_open(F.col(GRADE)))
     df = add_unit(df, tables, F.col("bu_id"))
     df = add_grade(df, tables, if_open(F.col(GRADE)))
-    df = add_lead(df, tables, F.col("account_id"))
     df = df.withColumns({
         "release_count": zero_fill(if_open(F.col("rel_count"))),
         "open_demands": zero_fill(if_open(F.col("dem_count"))),
@@ -191,10 +192,10 @@ def report_grain4_d2(tables: Tables, form: str = "one_shuffle") -> DataFrame:
         {name: from_sources(name, HEADCOUNT) for name in attributes},
     )
     df = consolidate(tables, layout, form)
+    df = add_lead(df, tables, F.col("account_id"))
     df = add_place(df, tables, F.col(LOCATION))
     df = add_cost(df, _costs(tables), F.col(PRACTICE), F.col(GRADE))
     df = add_unit(df, tables, F.col("bu_id"))
-    df = add_lead(df, tables, F.col("account_id"))
     df = df.withColumns({
         "billed_fte": zero_fill(F.col("billed_fte")),
         "prev_mon_actual_billed_fte": zero_fill(F.col("prev_mon_billed_fte")),
@@ -257,10 +258,10 @@ def _projected(previous: Column, fulfilled: float, opened: float) -> Column:
 def report_grain4_d8(tables: Tables, form: str = "one_shuffle") -> DataFrame:
     """Projects with demand only join the report; flows count FTE. The lead roll-up reads this one."""
     df = consolidate(tables, _projection_layout(GRAIN_4, {"prev_mon_billed_fte": PREVIOUS}, HEADCOUNT), form)
+    df = add_lead(df, tables, F.col("lead_account"))
     df = add_place(df, tables, F.col(LOCATION))
     df = add_cost(df, tables["cost_file"], F.col(PRACTICE), F.col(GRADE))
     df = add_unit(df, tables, F.col("BU"))
-    df = add_lead(df, tables, F.col("lead_account"))
     df = _add_flows(df).withColumns({
         "previous": zero_fill(F.col("prev_mon_billed_fte")),
         "d_cost": round5(F.col("Cost").cast("double")),
@@ -279,11 +280,11 @@ def report_grain4_d8(tables: Tables, form: str = "one_shuffle") -> DataFrame:
 def _report_grain5(tables: Tables, bu_sources: Sequence[Source], weights: Weights, form: str) -> DataFrame:
     measures = {"prev_mon_billed_fte": PREVIOUS, "prev_mon_total_fte": PREVIOUS}
     df = consolidate(tables, _projection_layout(GRAIN_5, measures, bu_sources), form)
+    df = add_lead(df, tables, F.col("lead_account"))
     df = add_department(df, tables)
     df = add_place(df, tables, F.col(LOCATION))
     df = add_cost(df, tables["cost_file"], F.col(PRACTICE), F.col(GRADE))
     df = add_unit(df, tables, F.col("BU"))
-    df = add_lead(df, tables, F.col("lead_account"))
     df = _add_flows(df).withColumns({
         "billed": zero_fill(F.col("prev_mon_billed_fte")),
         "total": zero_fill(F.col("prev_mon_total_fte")),

@@ -8,13 +8,15 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+MOST_PARTITIONS = 200_000
+
 _local_folders: dict[str, str] = {}
 
 
 def get_session(master: str | None = None, app_name: str = "rosterline", **conf) -> SparkSession:
-    """A session with the settings the reports are tuned for.
+    """A session with the settings the reports are tuned for, and any others the caller passes.
 
-    Anything set by spark-submit or the cluster wins, apart from what the caller passes here.
+    A keyword's double underscores stand for dots: ``spark__sql__shuffle__partitions=64``.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -71,6 +73,21 @@ def full_uri(spark: SparkSession, path: str) -> str:
     return re.sub("^file:/+", "file:///", system.makeQualified(place).toUri().toString())
 
 
+def size_shuffles(spark: SparkSession, *paths: str, bytes_per_partition: int = 64 << 20) -> int:
+    """Raise the number of shuffle partitions to suit the files in the folders; returns the number.
+
+    It is never lowered: adaptive execution merges partitions that turn out small. The files are columnar
+    and compressed, so a partition of 64 MB of them is several times that in a shuffle.
+    """
+    total = 0
+    for path in paths:
+        system, place = _place(spark, path)
+        total += system.getContentSummary(place).getLength()
+    wanted = min(max(-(-total // bytes_per_partition), int(spark.conf.get("spark.sql.shuffle.partitions"))), MOST_PARTITIONS)
+    spark.conf.set("spark.sql.shuffle.partitions", wanted)
+    return wanted
+
+
 def workspace(spark: SparkSession) -> str:
     """Create a database whose tables live in the shared folder; returns its name."""
     name = f"staffing_{uuid.uuid4().hex[:12]}"

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from rosterline.operators.contract import ContractError, check_contract
 from rosterline.operators.headers import check_headers, find_header, strip_headers
+from rosterline.session import size_shuffles
 from rosterline.sources import catalog, workbooks
 from rosterline.sources.export import export_rows
 from rosterline.sources.ingest import as_text, ingest_batch, ingest_text, read_text, replace_validated
@@ -229,3 +230,13 @@ def test_workbook_tasks_need_no_package(tmp_path):
     )
     done = subprocess.run([sys.executable, "-I", "-c", script], cwd=tmp_path, capture_output=True, text=True)
     assert done.stdout.strip() == "[['p', 0, ['5']]]", done.stderr
+
+
+def test_shuffles_are_sized_by_the_files(spark, tmp_path):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.range(100_000).write.parquet(str(tmp_path / "a"))
+    try:
+        assert size_shuffles(spark, str(tmp_path)) == int(before)
+        assert size_shuffles(spark, str(tmp_path), bytes_per_partition=1000) > 100
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rosterline.session import fresh_path, path_exists
+from rosterline.session import fresh_path, path_exists, size_shuffles
 
 RAW_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "conversations",
@@ -160,6 +160,7 @@ def _derive(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 def _stage(spark: SparkSession, sf_dir: str) -> tuple[str, dict[str, DataFrame]]:
     """Write the derived tables once: the line items by role, so that each fact reads only its own."""
     folder = fresh_path(spark, "inputs")
+    size_shuffles(spark, sf_dir)
 
     def stored(name: str, df: DataFrame, *partition_by: str) -> DataFrame:
         df.write.partitionBy(*partition_by).parquet(f"{folder}/{name}")
