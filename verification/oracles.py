@@ -377,6 +377,10 @@ CUSTOMER_TEXT = (
     "CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, "
     "CAST(c_acctbal AS VARCHAR) AS c_acctbal, c_mktsegment"
 )
+CUSTOMER_COLUMNS = " UNION ALL ".join(
+    f"SELECT CAST({i} AS INT) AS position, '{name}' AS column_name"
+    for i, name in enumerate(("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment", "load_date"), start=1)
+)
 STAMP = f"strftime(TIMESTAMP '{LOADED}' + INTERVAL 330 MINUTE, '%Y-%m-%d %H:%M:%S') || ' IST' AS load_date"
 
 SEARCH = "(rely|hine?) th(at|e) [a-z]+tion"
@@ -429,9 +433,8 @@ UNION ALL SELECT 'supplier_list', 'complete', (SELECT COUNT(*) FROM supplier)
 UNION ALL SELECT 'not_there', 'failed', NULL""",
         "load_date_stamp": f"SELECT c_custkey, {STAMP} FROM customer",
         "strip_headers": "SELECT c_custkey, c_name, c_mktsegment FROM customer",
-        "contract_check": """SELECT column_name AS "column", CASE WHEN column_name = 'c_acctbal' THEN 'missing' ELSE 'ok' END AS state
-FROM information_schema.columns WHERE table_name = 'customer'
-UNION ALL SELECT 'load_date', 'ok' UNION ALL SELECT 'C_ACCTBAL', 'extra' UNION ALL SELECT 'region', 'extra'""",
+        "contract_check": f"""SELECT column_name AS "column", CASE WHEN column_name = 'c_acctbal' THEN 'missing' ELSE 'ok' END AS state
+FROM ({CUSTOMER_COLUMNS}) UNION ALL SELECT 'C_ACCTBAL', 'extra' UNION ALL SELECT 'region', 'extra'""",
         "replace_validated": f"SELECT {CUSTOMER_TEXT}, UPPER(c_mktsegment) AS segment, {STAMP} FROM customer",
         "replace_view": "SELECT c_mktsegment, COUNT(*) AS customers FROM customer GROUP BY 1",
         "full_scan": "SELECT * FROM part",
@@ -441,10 +444,8 @@ FROM lineitem GROUP BY 1, 2""",
 UNION ALL SELECT 'customer_counts', 'view'""",
         "classify_tables": f"""WITH names AS ({TABLE_NAMES}) SELECT p_partkey, name, NOT {starts(*not_transactions)} AS is_transaction,
   {starts('map_')} AS is_lookup, {starts('pdl', 'dashboard')} AS is_view FROM names""",
-        "describe_tables": """SELECT 'customer' AS "table", CAST(ordinal_position AS INT) AS position, column_name AS "column",
-  'STRING' AS type FROM information_schema.columns WHERE table_name = 'customer'
-UNION ALL SELECT 'customer', CAST(COUNT(*) + 1 AS INT), 'load_date', 'STRING'
-FROM information_schema.columns WHERE table_name = 'customer'""",
+        "describe_tables": f"""SELECT 'customer' AS "table", position, column_name AS "column", 'STRING' AS type
+FROM ({CUSTOMER_COLUMNS})""",
         "drop_relation": """SELECT 'customer' AS "table", 'table' AS kind""",
         "export_rows": f"""SELECT * FROM ({customer_text})
 WHERE regexp_matches(CONCAT_WS(chr(10), c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment), '(?i)build|99')""",
