@@ -29,6 +29,10 @@ def catalog_tables(spark: SparkSession, database: str | None = None) -> dict[str
     return {name: read_table(spark, prefix + name) for name in found}
 
 
+def _rename(spark: SparkSession, name: str, to: str) -> None:
+    spark.sql(f"ALTER TABLE {_identifier(name)} RENAME TO {_identifier(to)}")
+
+
 def replace_table(spark: SparkSession, name: str, df: DataFrame) -> DataFrame:
     """Create the table, or replace it with its schema; ``df`` may read the table itself.
 
@@ -40,13 +44,17 @@ def replace_table(spark: SparkSession, name: str, df: DataFrame) -> DataFrame:
     staged, former = f"{name}__new_{mark}", f"{name}__old_{mark}"
     df.write.format("parquet").saveAsTable(_identifier(staged))
     had = spark.catalog.tableExists(_identifier(name))
-    if had:
-        spark.sql(f"ALTER TABLE {_identifier(name)} RENAME TO {_identifier(former)}")
     try:
-        spark.sql(f"ALTER TABLE {_identifier(staged)} RENAME TO {_identifier(name)}")
-    except Exception:
         if had:
-            spark.sql(f"ALTER TABLE {_identifier(former)} RENAME TO {_identifier(name)}")
+            _rename(spark, name, former)
+        try:
+            _rename(spark, staged, name)
+        except Exception:
+            if had:
+                _rename(spark, former, name)
+            raise
+    except Exception:
+        spark.sql(f"DROP TABLE IF EXISTS {_identifier(staged)}")
         raise
     if had:
         spark.sql(f"DROP TABLE {_identifier(former)}")

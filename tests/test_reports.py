@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -204,3 +205,24 @@ def test_hot_key_and_nulls(spark, tables):
     hot = by_project(one.filter("`Project Id` = 'hot'"))["hot"]
     assert hot["prev_mon_billed_fte"] == 30_000
     assert one.count() == 30_000 + 5  # and hot, one, null, bad, wanted
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_both_forms_agree_on_random_facts(spark, tables, seed):
+    """Few keys, many NULLs in keys, descriptions and numbers, and every source with keys of its own."""
+    draw = random.Random(seed)
+
+    def cell(name):
+        if draw.random() < 0.15:
+            return None
+        if "FTE" in name:
+            return draw.choice(["1", "2.5", "x", "0", "-1", ""])
+        return f"{name[:3]}{draw.randrange(3)}"
+
+    def facts(df, count=150):
+        return spark.createDataFrame([tuple(cell(name) for name in df.columns) for _ in range(count)], df.schema)
+
+    names = ("utilization_prediction_report", "previous_month_actual", "demand_base", "fulfilment", "releases", "attrition", "np_jan26")
+    given = {**tables, **{name: facts(tables[name], 40 if name == "demand_base" else 150) for name in names}}
+    for report in ALL:
+        assert rows(report(given)) == rows(report(given, form="joined")), report.__name__

@@ -92,6 +92,15 @@ def test_failed_write_keeps_table(spark, database):
     assert spark.table(name).count() == 3
 
 
+def test_view_is_not_replaced_by_a_table(spark, database):
+    catalog.replace_table(spark, f"{database}.base", spark.range(3))
+    catalog.replace_view(spark, f"{database}.v", f"SELECT * FROM {database}.base")
+    with pytest.raises(Exception):
+        catalog.replace_table(spark, f"{database}.v", spark.range(9))
+    assert spark.table(f"{database}.v").count() == 3
+    assert [t.name for t in spark.catalog.listTables(database) if not t.isTemporary] == ["base", "v"]
+
+
 def test_odd_table_name(spark, database):
     name = f"{database}.select"
     catalog.replace_table(spark, name, spark.range(2))
