@@ -225,10 +225,13 @@ class _Writer:
         self.add(header)
 
     def add(self, values) -> None:
-        cells = "".join(
-            "<c/>" if value is None else f'<c t="inlineStr"><is><t xml:space="preserve">{escape(NOT_IN_XML.sub("", value), CARRIAGE_RETURN)}</t></is></c>'
-            for value in values
-        )
+        def cell(value: str | None) -> str:
+            if value is None:
+                return "<c/>"
+            text = escape(NOT_IN_XML.sub("", value), CARRIAGE_RETURN)
+            return f'<c t="inlineStr"><is><t xml:space="preserve">{text}</t></is></c>'
+
+        cells = "".join(cell(value) for value in values)
         self.sheet.write(f"<row>{cells}</row>".encode())
         self.rows += 1
 

@@ -14,8 +14,7 @@ from rosterline.functions import (
 from rosterline.operators import explore
 from rosterline.operators.contract import check_contract
 from rosterline.operators.grain import (
-    DEPARTMENT, GRADE, GRAIN_4, GRAIN_5, LOCATION, PRACTICE, PROJECT, Source, attach, department_map, drop_null_key, spine,
-    summarise, to_grain,
+    DEPARTMENT, GRAIN_4, GRAIN_5, Source, attach, department_map, drop_null_key, spine, summarise, to_grain,
 )
 from rosterline.operators.headers import strip_headers
 from rosterline.operators.history import append_if_absent, recent_distinct
