@@ -82,10 +82,10 @@ filled AS (
 leveled AS (
   SELECT *, CAST(1.5 AS DOUBLE) * CAST(total AS DOUBLE) - CAST(full_words AS DOUBLE) AS words_left FROM filled),
 hit AS (
-  SELECT rank AS at, words_left AS at_left, open_weight AS at_open FROM leveled
+  SELECT rank AS first_rank, words_left AS at_left, open_weight AS at_open FROM leveled
   WHERE weight * words_left / open_weight <= source_size * 2 ORDER BY rank LIMIT 1),
 targets AS (
-  SELECT source, source_size, CASE WHEN rank >= at THEN weight * at_left / at_open ELSE CAST(source_size * 2 AS DOUBLE) END AS target
+  SELECT source, source_size, CASE WHEN rank >= first_rank THEN weight * at_left / at_open ELSE CAST(source_size * 2 AS DOUBLE) END AS target
   FROM leveled, hit),
 placed AS (
   SELECT s.doc_id, s.size, t.source_size, t.target,
