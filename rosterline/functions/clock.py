@@ -16,8 +16,13 @@ def ist_text(at: Column | None = None, suffix: str = "", source_zone: Column | N
     A zoned timestamp needs no ``source_zone``; for a zone-less one it says which zone it is in.
     """
     instant = F.current_timestamp() if at is None else at
-    zone = F.current_timezone() if source_zone is None else source_zone
-    local = F.convert_timezone(zone, F.lit(REPORT_ZONE), instant.cast("timestamp_ntz"))
+    if source_zone is None:
+        # Through UTC: the wall clock of the session's zone is ambiguous in the hour that clocks go back.
+        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        zone, wall = F.lit("UTC"), F.timestamp_add("MICROSECOND", F.unix_micros(instant.cast("timestamp_ltz")), epoch)
+    else:
+        zone, wall = source_zone, instant.cast("timestamp_ntz")
+    local = F.convert_timezone(zone, F.lit(REPORT_ZONE), wall)
     text = F.date_format(local, CLOCK_FORMAT)
     return F.concat(text, F.lit(suffix)) if suffix else text
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Observation, Column, DataFrame, SparkSession, functions as F
 
 from rosterline.functions import any_matches, to_number
 from rosterline.operators.headers import column
@@ -52,23 +52,32 @@ def run_sql(spark: SparkSession, text: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class QueryOutcome:
-    """What a free query gave: its rows, and a printed form of the first of them or the error."""
+    """What a free query gave: its rows, and a printed form of the first of them or the error.
+
+    ``note`` says how many of all rows are printed, when that is not all of them.
+    """
 
     status: str
     rows: DataFrame | None
     text: str
+    note: str = ""
 
 
 def query_status(spark: SparkSession, text: str, printed_rows: int = 1000) -> QueryOutcome:
     """Run a query and report ``ok``, ``empty`` or ``error``.
 
-    The rows stay in Spark. Only the printed form, of ``printed_rows`` rows at most, reaches the driver.
+    The status is that of the whole query: every row is computed and counted, and the rows stay in Spark. Only
+    the printed form, of ``printed_rows`` rows at most, reaches the driver; the note says when there are more.
     """
     try:
         rows = spark.sql(text)
+        counted = Observation()
+        rows.observe(counted, F.count(F.lit(1)).alias("rows")).write.format("noop").mode("overwrite").save()
+        total = counted.get["rows"]
         head = rows.limit(printed_rows).toPandas()
     except Exception as error:  # whatever the query raised is the answer
         return QueryOutcome("error", None, f"Error: {error}")
-    if head.empty:
+    if not total:
         return QueryOutcome("empty", rows, NO_DATA)
-    return QueryOutcome("ok", rows, head.to_string(index=False))
+    note = f"{len(head)} of {total} rows" if total > len(head) else ""
+    return QueryOutcome("ok", rows, head.to_string(index=False), note)

@@ -42,13 +42,25 @@ def pick(df: DataFrame, *headers: str) -> Column:
 
 def strip_headers(df: DataFrame) -> DataFrame:
     """Trim blanks around the header names."""
-    return df.toDF(*[name.strip() for name in df.columns])
+    return df.toDF(*number_repeats([name.strip() for name in df.columns]))
+
+
+def number_repeats(names: list[str]) -> list[str]:
+    """Repeated headers with a number after the first: ``a``, ``a``, ``a`` become ``a``, ``a.1``, ``a.2``."""
+    taken, out = set(names), []
+    for name in names:
+        label, number = name, 0
+        while label in out or (number and label in taken):
+            number += 1
+            label = f"{name}.{number}"
+        out.append(label)
+    return out
 
 
 def check_headers(df: DataFrame) -> None:
     """Raise when two headers differ only in case, which a table cannot store."""
     seen: dict[str, str] = {}
     for name in df.columns:
-        other = seen.setdefault(name.lower(), name)
-        if other is not name:
-            raise ValueError(f"headers {other!r} and {name!r} differ only in case")
+        if name.lower() in seen:
+            raise ValueError(f"headers {seen[name.lower()]!r} and {name!r} differ only in case")
+        seen[name.lower()] = name

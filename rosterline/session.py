@@ -3,15 +3,12 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 MOST_PARTITIONS = 200_000
 
-_local_folders: dict[str, str] = {}
-
 
 def get_session(master: str | None = None, app_name: str = "rosterline", **conf) -> SparkSession:
     """A session with the settings the reports are tuned for, and any others the caller passes.
@@ -37,19 +34,11 @@ def get_session(master: str | None = None, app_name: str = "rosterline", **conf)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, from ``spark.checkpoint.dir``.
-
-    Only a local-mode session may go without the setting; it gets a temporary folder.
-    """
+    """The folder every executor can reach: ``spark.checkpoint.dir``, or a folder in the warehouse if that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _local_folders:
-        _local_folders[app] = tempfile.mkdtemp(prefix="rosterline-")
-    return _local_folders[app]
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/staged-{spark.sparkContext.applicationId}"
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

@@ -70,9 +70,15 @@ def replace_view(spark: SparkSession, name: str, body: DataFrame | str) -> DataF
     return read_table(spark, name)
 
 
-def list_tables(spark: SparkSession, database: str | None = None) -> DataFrame:
-    """Names of all tables and views, with their kind."""
-    rows = [(t.name, "view" if t.tableType in ("VIEW", "TEMPORARY") else "table") for t in spark.catalog.listTables(database)]
+def list_tables(spark: SparkSession, database: str | None = None, session_views: bool | None = None) -> DataFrame:
+    """Names of all tables and views, with their kind.
+
+    Views of the session belong to no database: they are listed if asked for, or if no database is named.
+    """
+    listed = spark.catalog.listTables(database)
+    if not (database is None if session_views is None else session_views):
+        listed = [t for t in listed if not t.isTemporary]
+    rows = [(t.name, "view" if t.tableType in ("VIEW", "TEMPORARY") else "table") for t in listed]
     return spark.createDataFrame(rows, "table string, kind string")
 
 

@@ -9,10 +9,11 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from rosterline.functions import ist_text, table_name_expr
 from rosterline.operators.contract import ContractError, check_contract
-from rosterline.operators.headers import check_headers, column, strip_headers
+from rosterline.operators.headers import check_headers, column, number_repeats, strip_headers
 from rosterline.sources.catalog import read_table, replace_table
 from rosterline.sources.workbooks import workbook_table
 
@@ -45,6 +46,29 @@ def stamp_load_date(df: DataFrame, at: dt.datetime | None = None) -> DataFrame:
     return df.withColumn(LOAD_DATE, stamp)
 
 
+def _read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV file as text, its repeated headers numbered; short rows are filled up with NULL.
+
+    A row with more filled cells than the header has columns fails the file, so that no cell is lost.
+    """
+    options = {"multiLine": True, "escape": '"'}
+    first = spark.read.options(**options).csv(path, header=False).first()
+    if first is None:
+        raise ValueError(f"{path!r} is empty")
+    names = number_repeats([(name or f"Unnamed: {i}").strip() for i, name in enumerate(first)])
+    places = [f"_{i}" for i in range(len(names))]
+    wide = StructType([StructField(name, StringType()) for name in places])
+    with_bad = StructType([*wide.fields, StructField("_bad", StringType())])
+    read = spark.read.options(**options, columnNameOfCorruptRecord="_bad", enforceSchema=True)
+    rows = read.schema(with_bad).csv(path, header=True)
+    beyond = [f"x{i}" for i in range(16)]
+    parsed = F.from_csv("_bad", ", ".join(f"`{name}` string" for name in [*places, *beyond]), {"escape": '"', "multiLine": "true"})
+    extra = F.coalesce(*[parsed[name] for name in beyond])
+    failed = F.raise_error(F.concat(F.lit("row with more cells than headers: "), F.col("_bad")))
+    checked = F.when(F.col("_bad").isNotNull() & extra.isNotNull(), failed.cast("string")).otherwise(F.col(places[0]))
+    return rows.select(checked.alias(places[0]), *places[1:]).toDF(*names)
+
+
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """A file as an all-text frame, by its suffix: workbook, CSV, or any typed Spark source."""
     suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
@@ -53,7 +77,7 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     elif suffix in ("parquet", "orc", "json"):
         df = spark.read.format(suffix).load(path)
     elif suffix == "csv":
-        df = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"')
+        df = _read_csv(spark, path)
     else:
         raise ValueError(f"cannot read {path!r}: unknown suffix {suffix!r}")
     return as_text(strip_headers(df))

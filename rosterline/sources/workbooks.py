@@ -20,6 +20,8 @@ from pyarrow import fs
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from rosterline.operators.headers import number_repeats
+
 # Executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -161,17 +163,21 @@ def workbook_cells(files: DataFrame) -> DataFrame:
 def workbook_wide(files: DataFrame) -> DataFrame:
     """The workbooks as one table, with the first row of each as its header.
 
-    The header is the only thing the driver sees. All files must have the same one.
+    The driver sees the header and the width of the widest row; cells right of the header are kept, in columns
+    that are named by their place. Repeated headers are numbered. All files must have the same header.
     """
     headers = workbook_rows(files, header_only=True).filter("row = 0").select("values").distinct().take(2)
     if len(headers) != 1:
         raise ValueError("no header row found" if not headers else "the workbooks have different headers")
-    names = [name or f"Unnamed: {i}" for i, name in enumerate(headers[0]["values"])]
+    rows = workbook_rows(files)
+    widest = rows.agg(F.max(F.size("values"))).first()[0] or 0
+    cells = [*headers[0]["values"], *[None] * (widest - len(headers[0]["values"]))]
+    names = number_repeats([name or f"Unnamed: {i}" for i, name in enumerate(cells)])
 
     def cell(i: int, name: str) -> Column:
         return F.get(F.col("values"), F.lit(i)).alias(name)
 
-    return workbook_rows(files).filter("row > 0").select(*[cell(i, name) for i, name in enumerate(names)])
+    return rows.filter("row > 0").select(*[cell(i, name) for i, name in enumerate(names)])
 
 
 def _files(spark: SparkSession, glob: str) -> DataFrame:

@@ -99,3 +99,10 @@ def test_hot_and_missing_lookup_keys_are_split(spark):
             spark.conf.set(name, value)
     assert len(found) == 90_000 and sum(row["v"] is not None for row in found) == 30_000 + 10_000
     assert "SortMergeJoin(skew=true)" in plan
+
+
+def test_query_status_reads_the_whole_query(spark):
+    late = "SELECT IF(id = 4900, CAST('x' || id AS INT), id) AS v FROM range(5000)"
+    assert explore.query_status(spark, late).status == "error"
+    many = explore.query_status(spark, "SELECT id FROM range(5000)")
+    assert many.status == "ok" and many.note == "1000 of 5000 rows"

@@ -274,8 +274,7 @@ def _with_relations(spark: SparkSession, sf_dir: str) -> str:
 
 
 def _listed(spark: SparkSession, database: str) -> DataFrame:
-    """Session views are listed in every database, and other queries leave some; only this one's are shown."""
-    return catalog.list_tables(spark, database).filter(F.col("table").isin("customer", "nation", "customer_counts"))
+    return catalog.list_tables(spark, database)
 
 
 def _list_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
