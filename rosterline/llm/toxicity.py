@@ -11,7 +11,7 @@ from rosterline.llm.preference import held_out, training_rows
 
 SLOTS = 1 << 18
 SIZES = (3, 4, 5, 6)
-SAMPLE_ROWS = 2_500  # labelled rows per label that the fit may use
+SAMPLE_ROWS = 1_000  # labelled rows per label that the fit may use
 LEAST_DOCUMENTS = 3
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -38,19 +38,20 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, smoothing: float = 1.0, ridg
     Slots in under LEAST_DOCUMENTS documents weigh nothing. Labels count the same in the loss.
     """
     sizes = np.array([len(row) for row in rows])
-    owner, slot = np.repeat(np.arange(len(rows)), sizes), np.concatenate(rows)
+    owner, slot = np.repeat(np.arange(len(rows), dtype=np.int32), sizes), np.concatenate(rows)
     counts = [np.bincount(slot[labels[owner] == y], minlength=SLOTS).astype(float) for y in (0, 1)]
     shares = [(count + smoothing) / (count + smoothing).sum() for count in counts]
     ratio = np.log(shares[1] / shares[0])
     ratio[counts[0] + counts[1] < LEAST_DOCUMENTS] = 0.0
     used = ratio[slot] != 0
     owner, slot = owner[used], slot[used]
-    values = ratio[slot]
+    values = ratio[slot].astype(np.float32)
+    del used, rows
     balance = np.where(labels == 1, 0.5 / (labels == 1).sum(), 0.5 / (labels == 0).sum())
     weights, constant = np.zeros(SLOTS), 0.0
     first, second, constants = np.zeros(SLOTS), np.zeros(SLOTS), np.zeros(2)
     for step in range(1, rounds + 1):
-        z = np.bincount(owner, values * weights[slot], minlength=len(rows)) + constant
+        z = np.bincount(owner, values * weights[slot], minlength=len(labels)) + constant
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * balance
         gradient = np.bincount(slot, values * error[owner], minlength=SLOTS) + ridge * 1e-4 * weights
         first, second = 0.9 * first + 0.1 * gradient, 0.99 * second + 0.01 * gradient**2
