@@ -28,7 +28,7 @@ def slots(text: str | None) -> np.ndarray:
         rolled = (rolled[: len(codes) - size + 1] + codes[size - 1 :] + np.uint64(1)) * _PRIME
         rolled ^= rolled >> np.uint64(29)
         if size in SIZES:
-            flags[(rolled * _PRIME) >> np.uint64(46)] = True
+            flags[(rolled * _PRIME) >> np.uint64(64 - SLOTS.bit_length() + 1)] = True
     return np.flatnonzero(flags)
 
 
