@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Observation, Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql.window import Window
 
 from rosterline.functions import any_matches, to_number
 from rosterline.operators.headers import column
+from rosterline.session import fresh_path
 
 NO_DATA = "No data found."
 MIN_ROWS = 3
@@ -28,21 +30,26 @@ def match_counts(df: DataFrame, pattern: str | None) -> DataFrame:
     return df.agg(shown.alias("shown"), F.count("*").alias("total"))
 
 
-def _if_enough(df: DataFrame, source: DataFrame, min_rows: int) -> DataFrame:
-    """``df``, or no rows when ``source`` has fewer than ``min_rows``."""
-    seen = source.limit(min_rows).agg(F.count("*")).scalar()
-    return df.filter(seen >= F.lit(min_rows))
-
-
 def preview_rows(df: DataFrame, order_by: list[Column], n: int = 3, min_rows: int = MIN_ROWS) -> DataFrame:
     """The first ``n`` rows; none when the result is too short to chart."""
-    return _if_enough(df, df, min_rows).orderBy(*order_by).limit(n)
+    head = df.orderBy(*order_by).limit(max(n, min_rows))  # a few rows, which also say whether there are enough
+    numbered = head.select(
+        "*", F.row_number().over(Window.orderBy(*order_by)).alias("__at"), F.count("*").over(Window.partitionBy()).alias("__seen")
+    )
+    return numbered.filter((F.col("__seen") >= min_rows) & (F.col("__at") <= n)).orderBy("__at").drop("__at", "__seen")
 
 
 def chart_series(df: DataFrame, x: str, y: str, min_rows: int = MIN_ROWS) -> DataFrame:
-    """Label and number per point, without the points that lack either; none for a short result."""
+    """Label and number per point, without the points that lack either; none for a short result.
+
+    The points are computed once, into the shared folder, and counted there.
+    """
     points = df.select(column(df, x).cast("string").alias("x"), to_number(column(df, y).cast("string")).alias("y"))
-    return _if_enough(points.filter(F.col("x").isNotNull() & F.col("y").isNotNull()), df, min_rows)
+    path = fresh_path(df.sparkSession, "points")
+    points.write.parquet(path)
+    stored = df.sparkSession.read.schema(points.schema).parquet(path)
+    whole = stored.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    return whole if len(stored.select("x").take(min_rows)) >= min_rows else whole.limit(0)
 
 
 def run_sql(spark: SparkSession, text: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -14,8 +15,10 @@ LOOKUPS = ("map_",)
 VIEWS = ("pdl", "dashboard")
 
 
-def _identifier(name: str) -> str:
-    return ".".join(quoted(part) for part in name.split("."))
+def _identifier(name: str, suffix: str = "") -> str:
+    """The name, its parts quoted; a part in backticks may hold dots. The suffix goes to the last part."""
+    parts = [part[1:-1].replace("``", "`") if part[0] == "`" else part for part in re.findall(r"`(?:[^`]|``)+`|[^.`]+", name)]
+    return ".".join(quoted(part) for part in [*parts[:-1], parts[-1] + suffix])
 
 
 def read_table(spark: SparkSession, name: str) -> DataFrame:
@@ -24,9 +27,9 @@ def read_table(spark: SparkSession, name: str) -> DataFrame:
 
 def catalog_tables(spark: SparkSession, database: str | None = None) -> dict[str, DataFrame]:
     """Every table of the database by name, as the reports take them."""
-    prefix = f"{database}." if database else ""
+    prefix = f"{quoted(database)}." if database else ""
     found = [t.name for t in spark.catalog.listTables(database) if t.tableType not in ("VIEW", "TEMPORARY")]
-    return {name: read_table(spark, prefix + name) for name in found}
+    return {name: read_table(spark, prefix + quoted(name)) for name in found}
 
 
 def _rename(spark: SparkSession, name: str, to: str) -> None:
@@ -41,8 +44,8 @@ def replace_table(spark: SparkSession, name: str, df: DataFrame) -> DataFrame:
     """
     check_headers(df)
     mark = uuid.uuid4().hex[:8]
-    staged, former = f"{name}__new_{mark}", f"{name}__old_{mark}"
-    df.write.format("parquet").saveAsTable(_identifier(staged))
+    staged, former = _identifier(name, f"__new_{mark}"), _identifier(name, f"__old_{mark}")
+    df.write.format("parquet").saveAsTable(staged)
     had = spark.catalog.tableExists(_identifier(name))
     try:
         if had:
@@ -54,10 +57,10 @@ def replace_table(spark: SparkSession, name: str, df: DataFrame) -> DataFrame:
                 _rename(spark, former, name)
             raise
     except Exception:
-        spark.sql(f"DROP TABLE IF EXISTS {_identifier(staged)}")
+        spark.sql(f"DROP TABLE IF EXISTS {staged}")
         raise
     if had:
-        spark.sql(f"DROP TABLE {_identifier(former)}")
+        spark.sql(f"DROP TABLE {former}")
     return read_table(spark, name)
 
 
@@ -111,14 +114,14 @@ def describe_tables(spark: SparkSession, names: list[str]) -> DataFrame:
 
 
 def schema_text(spark: SparkSession, names: list[str]) -> str:
-    """The columns of the tables as text for a reader."""
+    """The columns that ``describe_tables`` lists, as text for a reader."""
     if not names:
         return "No tables selected."
-    blocks = []
-    for name in names:
-        columns = ", ".join(f"{column} ({kind.upper()})" for column, kind in read_table(spark, name).dtypes)
-        blocks.append(f"Table: {name}\nColumns: {columns}")
-    return "\n\n".join(blocks)
+    listed = F.array_sort(F.collect_list(F.struct("position", F.format_string("%s (%s)", "column", "type").alias("item"))))
+    block = F.concat(F.lit("Table: "), F.col("table"), F.lit("\nColumns: "), F.array_join(listed["item"], ", "))
+    described = describe_tables(spark, list(dict.fromkeys(names))).groupBy("table").agg(block.alias("block"))
+    blocks = {row["table"]: row["block"] for row in described.collect()}  # one short text per table
+    return "\n\n".join(blocks[name] for name in names)
 
 
 def drop_relation(spark: SparkSession, name: str) -> str | None:

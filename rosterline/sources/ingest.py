@@ -13,7 +13,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from rosterline.functions import ist_text, table_name_expr
 from rosterline.operators.contract import ContractError, check_contract
-from rosterline.operators.headers import check_headers, column, number_repeats, strip_headers
+from rosterline.operators.headers import check_headers, column, number_repeats, quoted, strip_headers
 from rosterline.sources.catalog import read_table, replace_table
 from rosterline.sources.workbooks import workbook_table
 
@@ -121,7 +121,7 @@ def ingest_batch(
 
     def load(path: str, name: str) -> _Load:
         try:
-            target = f"{database}.{name}" if database else name
+            target = f"{quoted(database)}.{quoted(name)}" if database else quoted(name)
             return _Load(path, name, "complete", ingest_text(spark, path, target, at).count(), None)
         except Exception as error:  # reported in the status frame
             return _Load(path, name, "failed", None, str(error))

@@ -34,13 +34,18 @@ LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 # The built-in number formats that show dates or times.
 DATE_FORMATS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
 
+# How the format writes a character by its code, and the characters that XML cannot hold.
+ESCAPED = re.compile("_x([0-9A-Fa-f]{4})_")
+NOT_IN_XML = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]|_(?=x[0-9A-Fa-f]{4}_)")
+
 Row = list[str | None]
 
 
 def _text(element: ElementTree.Element) -> str:
     """Text of a string item, without its reading aids."""
     runs = [element, *element.findall(f"{MAIN}r")]
-    return "".join(t.text or "" for run in runs for t in run.findall(f"{MAIN}t"))
+    text = "".join(t.text or "" for run in runs for t in run.findall(f"{MAIN}t"))
+    return ESCAPED.sub(lambda found: chr(int(found[1], 16)), text)
 
 
 def _shared_strings(book: zipfile.ZipFile) -> list[str]:
@@ -215,7 +220,6 @@ PARTS = {
 SHEET_OPEN = '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>'
 SHEET_CLOSE = "</sheetData></worksheet>"
 CARRIAGE_RETURN = {"\r": "&#13;"}
-NOT_IN_XML = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f￾￿]")
 
 
 class _Writer:
@@ -234,7 +238,7 @@ class _Writer:
         def cell(value: str | None) -> str:
             if value is None:
                 return "<c/>"
-            text = escape(NOT_IN_XML.sub("", value), CARRIAGE_RETURN)
+            text = escape(NOT_IN_XML.sub(lambda found: f"_x{ord(found[0]):04X}_", value), CARRIAGE_RETURN)
             return f'<c t="inlineStr"><is><t xml:space="preserve">{text}</t></is></c>'
 
         cells = "".join(cell(value) for value in values)

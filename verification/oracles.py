@@ -203,7 +203,7 @@ FROM {on_spine(4, 'u', 'p', 'd', 'r')}""",
     reports["report_grain5_d15"] = query(projected_ctes(5, ("u", "p", "d")), D15_OUTPUT)
     reports["report_grain5_d15_joined"] = reports["report_grain5_d15"]
     reports["report_weighted"] = query(projected_ctes(5, ("u", "p", "d"), ("0.2", "0.5", "0.8", "0.4")), D15_OUTPUT)
-    reports["pdl_rollup"] = query({**projected_ctes(4, ("u", "p")), "report": D8_OUTPUT, "totals": TOTALS}, ROLLUP)
+    reports["pdl_rollup"] = query({**projected_ctes(4, ("u", "p")), "report": D8_OUTPUT, "totals": TOTALS}, f"SELECT *, {LOAD_TIME} AS load_date FROM ({ROLLUP})")
     reports["chart_series"] = query(
         {**projected_ctes(4, ("u", "p")), "report": D8_OUTPUT, "totals": TOTALS, "rollup": ROLLUP},
         "SELECT parent_customer_name AS x, prev_cost_per_bfte AS y FROM rollup "
@@ -381,7 +381,8 @@ CUSTOMER_COLUMNS = " UNION ALL ".join(
     f"SELECT CAST({i} AS INT) AS position, '{name}' AS column_name"
     for i, name in enumerate(("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment", "load_date"), start=1)
 )
-STAMP = f"strftime(TIMESTAMP '{LOADED}' + INTERVAL 330 MINUTE, '%Y-%m-%d %H:%M:%S') || ' IST' AS load_date"
+LOAD_TIME = f"strftime(TIMESTAMP '{LOADED}' + INTERVAL 330 MINUTE, '%Y-%m-%d %H:%M:%S')"
+STAMP = f"{LOAD_TIME} || ' IST' AS load_date"
 
 SEARCH = "(rely|hine?) th(at|e) [a-z]+tion"
 ILIKE_TEXT = "of the or%tion"
@@ -432,7 +433,7 @@ UNION ALL SELECT 'customer_list', 'complete', (SELECT COUNT(*) FROM customer)
 UNION ALL SELECT 'supplier_list', 'complete', (SELECT COUNT(*) FROM supplier)
 UNION ALL SELECT 'not_there', 'failed', NULL""",
         "load_date_stamp": f"SELECT c_custkey, {STAMP} FROM customer",
-        "strip_headers": "SELECT c_custkey, c_name, c_mktsegment FROM customer",
+        "strip_headers": "SELECT * FROM customer",
         "contract_check": f"""SELECT column_name AS "column", CASE WHEN column_name = 'c_acctbal' THEN 'missing' ELSE 'ok' END AS state
 FROM ({CUSTOMER_COLUMNS}) UNION ALL SELECT 'C_ACCTBAL', 'extra' UNION ALL SELECT 'region', 'extra'""",
         "replace_validated": f"SELECT {CUSTOMER_TEXT}, UPPER(c_mktsegment) AS segment, {STAMP} FROM customer",

@@ -49,7 +49,7 @@ def _on_tables(build: Callable[[dict[str, DataFrame]], DataFrame]) -> Query:
 
 
 def _rollup(tables: dict[str, DataFrame]) -> DataFrame:
-    return pdl_rollup(reports.report_grain4_d8(tables), LOADED_AT).drop("load_date")
+    return pdl_rollup(reports.report_grain4_d8(tables), LOADED_AT)
 
 
 REPORTS: dict[str, Query] = {
@@ -223,10 +223,8 @@ def _ingest_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _strip_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    padded = raw(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias(" c_custkey"), F.col("c_name").alias("c_name  "), F.col("c_mktsegment").alias("\tc_mktsegment ")
-    )
-    return strip_headers(padded)
+    customer, pads = raw(spark, sf_dir, "customer"), (" {}", "{}  ", "\t{} ", "{}")
+    return strip_headers(customer.toDF(*[pads[i % len(pads)].format(name) for i, name in enumerate(customer.columns)]))
 
 
 def _contract(spark: SparkSession, sf_dir: str) -> DataFrame:
