@@ -167,6 +167,22 @@ def test_export_workbooks(spark, tmp_path, scheme):
     assert read_text(spark, f"{tmp_path}/empty/*.xlsx").count() == 0
 
 
+def test_control_characters_in_workbooks(spark, tmp_path):
+    df = spark.createDataFrame([("x\x0by", "_x000B_"), ("a_x", "_x_x0041_\x01")], "x string, y string")
+    export_rows(df, f"{tmp_path}/odd", "xlsx")
+    assert rows(read_text(spark, f"{tmp_path}/odd/*.xlsx")) == rows(df)
+
+
+def test_dotted_names(spark, database, tmp_path):
+    path = write(tmp_path / "Report 1.2.csv", "a\n1\n")
+    load = ingest_batch(spark, [path], database).first()
+    # This catalog takes no dots in names, which the status says.
+    assert load["table"] == "report_1.2" and load["status"] == "failed" and "not a valid name" in load["error"]
+    name = f"`{database}`.`plain`"
+    assert catalog.replace_table(spark, name, spark.range(2)).count() == 2
+    assert catalog.replace_table(spark, name, spark.range(3)).count() == 3
+
+
 def cells(*rows_):
     body = "".join(rows_)
     return f'<worksheet xmlns="{workbooks.MAIN[1:-1]}"><sheetData>{body}</sheetData></worksheet>'
