@@ -50,12 +50,12 @@ def measures(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
 
 
-def thresholds(measured: DataFrame, least_rows: int = 200) -> DataFrame:
+def thresholds(measured: DataFrame) -> DataFrame:
     """Per language and source (as ``lang_key``, ``source_key``) the lowest and highest value that passes each rule.
 
     A sketch is a count per bin (see ``common.coarse``): sketches merge by adding counts, whatever the order,
-    so reruns agree. Limits lie three spreads (between the quartiles) beyond the quartiles. A group of under
-    ``least_rows`` rows uses the merged sketch of its language, and that of all rows if that is small too.
+    so reruns agree. Limits lie three spreads (between the quartiles) beyond the quartiles. Every group has its
+    own, however few its rows: a group of one or a few is held by the least spread of each rule.
     """
     values = F.array(*[F.struct(F.lit(name).alias("rule"), F.expr(sql).alias("value")) for name, (sql, *_) in RULES.items()])
     bins = (
@@ -63,26 +63,13 @@ def thresholds(measured: DataFrame, least_rows: int = 200) -> DataFrame:
         .select("lang_key", "source_key", "v.rule", F.expr(coarse("v.value")).alias("bin"))
         .groupBy("lang_key", "source_key", "rule", "bin").agg(F.count("*").alias("rows"))
     )
-    bins = staged(bins, "sketches")
-    merged = bins.groupBy("lang_key", "rule", "bin").agg(F.sum("rows").alias("rows"))
-    whole = merged.groupBy("rule", "bin").agg(F.sum("rows").alias("rows"))
-
-    def quartiles(sketch: DataFrame, *by: str, suffix: str) -> DataFrame:
-        up_to = Window.partitionBy(*by, "rule").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-        ranked = sketch.withColumn("upto", F.sum("rows").over(up_to)).withColumn(
-            "total", F.sum("rows").over(Window.partitionBy(*by, "rule"))
-        )
-        return ranked.groupBy(*by, "rule").agg(
-            F.max("total").alias(f"n{suffix}"),
-            F.min(F.when(F.expr("4 * upto >= total"), F.col("bin"))).alias(f"low{suffix}"),
-            F.min(F.when(F.expr("4 * upto >= 3 * total"), F.col("bin"))).alias(f"high{suffix}"),
-        )
-
-    own = quartiles(bins, "lang_key", "source_key", suffix="0")
-    both = own.join(quartiles(merged, "lang_key", suffix="1"), ["lang_key", "rule"]).join(quartiles(whole, suffix="2"), ["rule"])
-    pick = lambda what: F.when(F.col("n0") >= least_rows, F.col(f"{what}0")).when(
-        F.col("n1") >= least_rows, F.col(f"{what}1")).otherwise(F.col(f"{what}2"))
-    limits = both.select("lang_key", "source_key", "rule", pick("low").alias("low"), pick("high").alias("high"))
+    up_to = Window.partitionBy("lang_key", "source_key", "rule").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("lang_key", "source_key", "rule")
+    ranked = bins.withColumn("upto", F.sum("rows").over(up_to)).withColumn("total", F.sum("rows").over(whole))
+    limits = ranked.groupBy("lang_key", "source_key", "rule").agg(
+        F.min(F.when(F.expr("4 * upto >= total"), F.col("bin"))).alias("low"),
+        F.min(F.when(F.expr("4 * upto >= 3 * total"), F.col("bin"))).alias("high"),
+    )
     columns = []
     for name, (_, spread, _) in RULES.items():
         reach = 3 * F.greatest(F.col("high") - F.col("low"), F.lit(spread))

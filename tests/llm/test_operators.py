@@ -76,6 +76,20 @@ def test_adaptive_limits_follow_the_group(spark):
     assert not out.pop(999) and all(out.values())
 
 
+def test_small_groups_have_limits_of_their_own(spark):
+    def text(word, i):
+        return " ".join(f"{word}{i:03d}x{j:02d}" for j in range(30))
+
+    hot = [(i, text("w", i), "en", "hot", 0, "", 0, "", 0) for i in range(400)]
+    small = [(1000 + i, text("averyveryverylongword", i), "en", "small", 0, "", 0, "", 0) for i in range(8)]
+    odd = [(2000, text("w", 0), "en", "small", 0, "", 0, "", 0), (2001, text("averyveryverylongword", 0), "en", "hot", 0, "", 0, "", 0)]
+    judged = lambda rows: {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
+    out = judged(hot + small + odd)
+    assert [i for i, kept in out.items() if not kept] == [2000, 2001]
+    # Growing another group changes no verdict.
+    assert {i: kept for i, kept in judged(small + odd[:1]).items()} == {i: out[i] for i in [*range(1000, 1008), 2000]}
+
+
 def test_mix(docs, none):
     out = mixing.mix(docs).collect()
     sizes = [(r[0], len(re.findall(common.WORD, r[1] or "")), r[3]) for r in rows_of()]
