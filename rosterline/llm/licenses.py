@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from bisect import bisect_left
+from collections import defaultdict
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -61,8 +62,8 @@ TEMPLATES = {
 VOCABULARY = frozenset(word for text, _ in TEMPLATES.values() for word in text.split()) | frozenset(
     word for phrase in BASE_PHRASES for word in phrase.split()
 )
-RARE_WORDS = 12  # licence words of the highest IDF that are looked up in a file
-LEAST_SHARE = 0.6  # of a template's words that must stand at their relative places
+LEAST_SHARE = 0.6  # of a template's words that must stand in a match, in order
+SHIFT = 0  # most words that may be inserted or missing between two words of a match
 
 
 def words_of(text: str | None) -> list[str]:
@@ -85,42 +86,98 @@ def phrase_places(at: dict[int, str], places: list[int], phrase: str) -> list[in
     return [p for p in places if at[p] == first and all(at.get(p + i + 1) == word for i, word in enumerate(rest))]
 
 
-def scan(words, places, idf: dict[str, float]) -> tuple:
-    """(n_base, first_word, last_word, base labels, all labels, score, matches) of one file."""
+def anchors(idf: dict[str, float]) -> dict[str, list[tuple[str, int]]]:
+    """Per word, the templates and positions that it votes for: in each template the positions of the highest IDF.
+
+    A match may lack ``len - least`` words, so of that many positions and two more at least two are in any match.
+    """
+    postings = defaultdict(list)
+    for label, (template, _) in TEMPLATE_WORDS.items():
+        order = sorted(range(len(template)), key=lambda i: (-idf.get(template[i], math.inf), template[i], i))
+        for i in order[: len(template) - least_hits(template) + 2]:
+            postings[template[i]].append((label, i))
+    return postings
+
+
+def least_hits(template: list[str]) -> int:
+    return math.ceil(LEAST_SHARE * len(template))
+
+
+def regions(votes: list[tuple[int, int]], template: list[str]) -> list[tuple[int, int]]:
+    """Stretches of places outside which no match of the template lies; votes are (place, position) by place."""
+    reach = (SHIFT + 1) * len(template)  # of a match
+    out, first, last, seen = [], None, None, set()
+    for place, position in [*votes, (math.inf, -1)]:
+        if last is not None and place - last > reach:
+            if len(seen) > 1:
+                out.append((first - reach, last + reach))
+            first, seen = None, set()
+        first, last = place if first is None else first, place
+        seen.add(position)
+    return out
+
+
+def chains(words: list[tuple[int, str]], template: list[str], spots: dict[str, list[int]]) -> list[tuple[int, int, int]]:
+    """(hits, from, to) of every run of the template's words, in order, long enough to be a match.
+
+    Starts (place less position) that are up to ``SHIFT`` words apart join, so a run goes on behind inserted or
+    missing words; for each word it ends at, the run of most hits.
+    """
+    ends: dict[int, list] = defaultdict(list)  # by start: (place, hits, from), places and hits rising
+    least, out = least_hits(template), []
+    for place, word in words:
+        added = []
+        for i in spots.get(word, ()):
+            start, best = place - i, (0, place - i)
+            for near in range(start - SHIFT, start + SHIFT + 1):
+                found = ends.get(near)
+                if found:
+                    # The last run that ends before this place and before this position of the template.
+                    at = bisect_left(found, (min(place, i + near),)) - 1
+                    if at >= 0 and found[at][1] > best[0]:
+                        best = found[at][1:]
+            added.append((start, (place, best[0] + 1, best[1])))
+            if best[0] + 1 >= least:
+                out.append((best[0] + 1, best[1], place + len(template) - i))
+        for start, end in added:
+            ends[start].append(end)
+    return out
+
+
+def scan(words, places, postings: dict[str, list[tuple[str, int]]]) -> tuple:
+    """(n_base, first_word, last_word, base labels, all labels, score) of one file."""
     at = dict(zip(places, words))
     base = [(p, label) for phrase, label in BASE_PHRASES.items() for p in phrase_places(at, places, phrase)]
     labels = {label for _, label in base}
-    # The rarest licence words of the file vote for a template and the place where it would begin.
-    present = sorted(set(words), key=lambda word: (-idf.get(word, 0.0), word))[:RARE_WORDS]
-    chosen, votes = frozenset(present), Counter()
+    votes = defaultdict(list)
     for place, word in zip(places, words):
-        if word in chosen:
-            for label, position in POSTINGS[word]:
-                votes[label, place - position] += 1
-    best, matches = 0.0, []
-    for (label, start), count in votes.items():
-        if count < 2:
-            continue
+        for label, position in postings.get(word, ()):
+            votes[label].append((place, position))
+    best, matched = 0.0, set()
+    for label, cast in votes.items():
         template, phrases = TEMPLATE_WORDS[label]
-        hits = sum(at.get(start + i) == word for i, word in enumerate(template)) / len(template)
-        if hits < LEAST_SHARE:
-            continue
-        inside = [p for p in range(start, start + len(template)) if p in at]
-        if all(phrase_places(at, inside, phrase) for phrase in phrases):
-            matches.append((label, start, hits))
-            best = max(best, hits)
+        for low, high in regions(cast, template):
+            near = [(p, at[p]) for p in places[bisect_left(places, low) : bisect_left(places, high + 1)]]
+            inside = [p for p, _ in near]
+            stand = [[(p, p + len(phrase.split())) for p in phrase_places(at, inside, phrase)] for phrase in phrases]
+            if not all(stand):
+                continue
+            for hits, start, end in chains(near, template, SPOTS[label]):
+                share = hits / len(template)
+                if (label not in matched or share > best) and all(any(start <= a and b <= end for a, b in each) for each in stand):
+                    matched.add(label)
+                    best = max(best, share)
     starts = [p for p, _ in base]
     named = ",".join(sorted(labels))
-    every = ",".join(sorted(labels | {label for label, _, _ in matches}))
+    every = ",".join(sorted(labels | matched))
     score = max(best, 0.5 if base else 0.0)
     return len(base), min(starts, default=None), max(starts, default=None), named, every, score
 
 
 TEMPLATE_WORDS = {label: (text.split(), phrases) for label, (text, phrases) in TEMPLATES.items()}
-POSTINGS: dict[str, list] = defaultdict(list)
-for _label, (_text, _) in TEMPLATES.items():
-    for _position, _word in enumerate(_text.split()):
-        POSTINGS[_word].append((_label, _position))
+SPOTS: dict[str, dict[str, list[int]]] = {}  # per label, the positions of each word, last first
+for _label, (_words, _) in TEMPLATE_WORDS.items():
+    SPOTS[_label] = {word: [i for i in reversed(range(len(_words))) if _words[i] == word] for word in _words}
 
 RESULT = "struct<n_base:long,first_word:long,last_word:long,base_labels:string,labels:string,score:double>"
 
@@ -128,20 +185,21 @@ RESULT = "struct<n_base:long,first_word:long,last_word:long,base_labels:string,l
 def license_scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, the base places and labels, and the labels of licence texts found, for every document.
 
-    A word's IDF is over all documents. In each file the licence words of the highest IDF look up the postings
-    of the templates; postings that agree on where a template begins (two or more) are a candidate, which stands
-    if most of the template's words are at their places and every mandatory phrase is among them. The score is
+    A word's IDF is over all documents. The words of the highest IDF of each template, as many as leave no match
+    out, are its postings; where two or more stand near each other the file is aligned with the template. A match
+    has most of the template's words in order, words may be inserted or missing between them, and every mandatory
+    phrase stands inside it. The score is
     the best share of a template found, 0.5 if only a base phrase names a licence, else 0. Null and empty texts
     have no words, no labels and score 0. Other columns are not looked at.
     """
     rows = staged(docs.select("doc_id", licence_words(F.col("text")).alias("w")), "licences")
     counted = rows.select(F.explode(F.array_distinct("w.words")).alias("word")).groupBy("word").count().collect()  # the vocabulary
     total = rows.count()
-    idf = {row["word"]: math.log((total + 1) / (row["count"] + 1)) + 1 for row in counted}
+    postings = anchors({row["word"]: math.log((total + 1) / (row["count"] + 1)) + 1 for row in counted})
 
     @F.pandas_udf(RESULT)
     def scanned(words: pd.Series, places: pd.Series) -> pd.DataFrame:
-        out = [scan(list(w), [int(p) for p in at], idf) for w, at in zip(words, places)]
+        out = [scan(list(w), [int(p) for p in at], postings) for w, at in zip(words, places)]
         frame = pd.DataFrame(out, columns=["n_base", "first_word", "last_word", "base_labels", "labels", "score"])
         return frame.astype({"first_word": "Int64", "last_word": "Int64"})
 

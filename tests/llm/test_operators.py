@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
 import zlib
@@ -237,6 +238,24 @@ def test_licenses(docs, none, spark):
     assert licenses.license_scan(none).count() == 0
 
 
+def scanned(text):
+    """The labels that one text has, without Spark; every word is equally rare."""
+    words = licenses.words_of(text)
+    found = [(word, at) for at, word in enumerate(words) if word in licenses.VOCABULARY]
+    postings = licenses.anchors({word: 1.0 for word in licenses.VOCABULARY})
+    return set(licenses.scan([w for w, _ in found], [at for _, at in found], postings)[4].split(",")) - {""}
+
+
+def test_every_notice_of_a_file_is_found(spark):
+    every = {label: text for label, (text, _) in licenses.TEMPLATES.items()}
+    assert scanned(" and so on ".join(every.values())) == set(every)
+    rows = [(1, " x ".join(every.values())), *((i + 2, f"the of and to {i}") for i in range(20))]
+    found = licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id = 1").first()
+    assert set(found["labels"].split(",")) == set(every) and found["score"] == 1.0
+    for a, b, c in itertools.permutations(every, 3):
+        assert {a, b, c} <= scanned(" x ".join([every[a], every[b], every[c]]))
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body><nav><ul><li><a>menu {0}</a></ul></nav>
 <!-- ad --><div class="ad">Buy {0}</div>{1}<div class="comments"><p>first!</div><footer>&copy; foot</footer></body></html>"""
 
