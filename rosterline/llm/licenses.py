@@ -63,7 +63,7 @@ VOCABULARY = frozenset(word for text, _ in TEMPLATES.values() for word in text.s
     word for phrase in BASE_PHRASES for word in phrase.split()
 )
 LEAST_SHARE = 0.6  # of a template's words that must stand in a match, in order
-SHIFT = 0  # most words that may be inserted or missing between two words of a match
+SHIFT = 8  # most words that may be inserted or missing between two words of a match
 
 
 def words_of(text: str | None) -> list[str]:

@@ -256,6 +256,24 @@ def test_every_notice_of_a_file_is_found(spark):
         assert {a, b, c} <= scanned(" x ".join([every[a], every[b], every[c]]))
 
 
+def test_notices_with_words_more_or_less():
+    for label, (text, phrases) in licenses.TEMPLATES.items():
+        words = text.split()
+        for at in range(1, len(words)):
+            for changed in ([*words[:at], "extra", *words[at:]], [*words[: at - 1], *words[at:]]):
+                whole = " ".join(changed)
+                stands = all(f" {phrase} " in f" {whole} " for phrase in phrases)
+                base = {name for phrase, name in licenses.BASE_PHRASES.items() if phrase in whole}
+                assert (label in scanned(f"a b c {whole} d")) == (stands or label in base), whole
+    usual = licenses.TEMPLATES["lgpl"][0].replace("terms of the gnu", "terms of version 2.1 of the gnu")
+    assert "lgpl" in scanned(usual)
+    words = licenses.TEMPLATES["isc"][0].split()
+    lines = [" ".join(words[i : i + 11]) for i in range(0, len(words), 11)]
+    assert scanned("\n".join(f"rem {line}" for line in lines)) == {"isc"}
+    shuffled = licenses.TEMPLATES["bsd"][1][0] + " " + " ".join(reversed(licenses.TEMPLATES["bsd"][0].split()[8:]))
+    assert scanned(shuffled) == set()
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body><nav><ul><li><a>menu {0}</a></ul></nav>
 <!-- ad --><div class="ad">Buy {0}</div>{1}<div class="comments"><p>first!</div><footer>&copy; foot</footer></body></html>"""
 
