@@ -293,6 +293,40 @@ def test_main_text(spark):
     assert templates.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def texts_of(spark, pages):
+    rows = [(i, f"http://h.example/{i}", page) for i, page in enumerate(pages)]
+    out = templates.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return {row["page_id"]: row["text"] for row in out}
+
+
+def test_template_of_pages_without_article(spark):
+    # The footer and the box come behind bodies of several lengths; one block of a region that else varies is fixed.
+    bodies = [[f"Body {i} has words that no other page has, line {k}" for k in range(i + 1)] for i in range(5)]
+    pages = [
+        "<div class='wrap'><p>Fixed lead</p>" + "".join(f"<p>{line}</p>" for line in body) + "</div>"
+        "<div class='box'>All alike here</div><div class='low'>Imprint</div>" for body in bodies
+    ]
+    assert texts_of(spark, pages) == {i: " ".join(body) for i, body in enumerate(bodies)}
+
+
+def test_template_decides_and_names_break_ties(spark):
+    # The main text stands in a region named like a widget; the article holds a short teaser.
+    long = [f"Text {i} " + " ".join(f"word{i}x{k}" for k in range(60)) for i in range(4)]
+    pages = [f"<div class='widget'><p>{text}</p></div><article><p>See {i}</p></article>" for i, text in enumerate(long)]
+    assert texts_of(spark, pages) == {i: f"{text} See {i}" for i, text in enumerate(long)}
+    assert texts_of(spark, pages[:1]) == {0: "See 0"}
+
+
+def test_classes_are_ordered_and_nested():
+    of = lambda *tokens: [{"vector": v, "own": v, "part": 0, "tok": t, "size": m, "pages": n} for v, t, m, n in tokens]
+    assert [each[3] for each in templates.order_of(of((1, 5, 2, 9), (1, 6, 2, 9), (1, 5, 2, 9), (1, 6, 2, 9)))] == [True, True]
+    assert [each[3] for each in templates.order_of(of((1, 5, 2, 9), (1, 6, 2, 9), (1, 6, 2, 9), (1, 5, 2, 9)))] == [False, False]
+    inside = templates.nest_of(of((1, 5, 2, 9), (2, 7, 2, 4), (2, 8, 2, 4), (1, 6, 2, 9)))
+    assert all(holds for *_, holds in inside) and len({place for _, _, place, _ in inside}) == 2
+    mixed = templates.nest_of(of((1, 5, 2, 9), (2, 7, 2, 4), (1, 6, 2, 9), (2, 8, 2, 4)))
+    assert {vector: holds for vector, _, _, holds in mixed} == {1: True, 2: False}
+
+
 def components_of(prints):
     parent = {p: p for p in prints}
 
