@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -23,6 +24,7 @@ ASIDE_NAMES = re.compile(
     r"^(ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|sidebar\w*|menu\w*|nav\w*|footer\w*|header\w*|cookies?|notices?|consent|"
     r"comments?|comment-?list|disqus\w*|replies|share|social|related|breadcrumbs?|newsletter|subscribe|popup|modal|widgets?)$"
 )
+NUMBERS = re.compile(r"\d+")
 LEAST_PAGES = 3  # of a host that a token must be on to tell template from text
 NEAR = 4  # amounts of text that differ by no more than this factor count as a tie
 SALTS = 16  # parts into which the rows of a hot host's token are dealt
@@ -33,18 +35,23 @@ class PageBlocks(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, str]] = []
+        self.stack: list[tuple[str, str, int]] = []  # tag, its part of the path, level by its names
         self.hidden: list[str] = []
-        self.tokens: list[tuple[str, str | None]] = [("", None)]
+        self.tokens: list[tuple[str, str | None, str, int]] = [("", None, "", 1)]
         self.parts: list[str] = []
 
-    def path(self) -> str:
-        return "/".join(name for _, name in self.stack)
+    def add(self, text: str | None):
+        """A token: path, text, unit (the outermost region that by its name holds or leaves out a whole, else the path), level."""
+        levels = [level for *_, level in self.stack]
+        outermost = next((i for i, level in enumerate(levels) if level != 1), len(levels))
+        level = 0 if 0 in levels else 2 if 2 in levels else 1
+        names = [name for _, name, _ in self.stack]
+        self.tokens.append(("/".join(names), text, "/".join(names[: outermost + 1]), level))
 
     def flush(self):
         text = " ".join("".join(self.parts).split())
         if text:
-            self.tokens.append((self.path(), text))
+            self.add(text)
         self.parts = []
 
     def handle_starttag(self, tag, attrs):
@@ -62,9 +69,12 @@ class PageBlocks(HTMLParser):
             self.hidden.append(tag)
         elif tag in REGIONS:
             self.flush()
-            named = sorted(name for key, value in attrs if key in ("class", "id", "role") for name in (value or "").lower().split())
-            self.stack.append((tag, ".".join([tag, *named]).replace("/", "_")))
-            self.tokens.append((self.path(), None))
+            named = {key: (value or "").lower().split() for key, value in attrs if key in ("class", "id", "role")}
+            # Ids, and numbers in names, can differ from page to page: they count for the level but not for the path.
+            shared = sorted(NUMBERS.sub("#", name) for key, names in named.items() if key != "id" for name in names)
+            level = named_level(tag, *[name for names in named.values() for name in names])
+            self.stack.append((tag, ".".join([tag, *shared]).replace("/", "_"), level))
+            self.add(None)
         elif tag in BLOCKS:
             self.flush()
 
@@ -79,7 +89,7 @@ class PageBlocks(HTMLParser):
             return
         if tag in REGIONS:
             self.flush()
-            names = [name for name, _ in self.stack]
+            names = [name for name, *_ in self.stack]
             if tag in names:
                 del self.stack[len(names) - 1 - names[::-1].index(tag) :]
         elif tag in BLOCKS:
@@ -90,7 +100,7 @@ class PageBlocks(HTMLParser):
             self.parts.append(data)
 
 
-def page_tokens(html: str | None) -> list[tuple[str, str | None]]:
+def page_tokens(html: str | None) -> list[tuple[str, str | None, str, int]]:
     parser = PageBlocks()
     parser.feed(html or "")
     parser.close()
@@ -98,31 +108,12 @@ def page_tokens(html: str | None) -> list[tuple[str, str | None]]:
     return parser.tokens
 
 
-def aside(path: str) -> bool:
-    """Whether a region on the path is by its name no part of the main text."""
-    for region in path.split("/"):
-        tag, *names = region.split(".")
-        if tag in ASIDE or any(ASIDE_NAMES.match(name) for name in names):
-            return True
-    return False
-
-
-def in_article(path: str) -> bool:
-    return any(region.split(".")[0] in ("article", "main") for region in path.split("/"))
-
-
-def named_level(path: str) -> int:
-    """By the names alone: 0 for regions beside the main text, 2 inside an article, else 1."""
-    return 0 if aside(path) else 2 if in_article(path) else 1
-
-
-def unit_of(path: str) -> str:
-    """The outermost region on the path that by its name holds or leaves out a whole, else the path."""
-    regions = path.split("/")
-    for i, region in enumerate(regions):
-        if named_level(region) != 1:
-            return "/".join(regions[: i + 1])
-    return path
+@lru_cache(maxsize=4096)
+def named_level(tag: str, *names: str) -> int:
+    """By the names alone: 0 for regions beside the main text, 2 for articles, else 1."""
+    if tag in ASIDE or any(ASIDE_NAMES.match(name) for name in names):
+        return 0
+    return 2 if tag in ("article", "main") else 1
 
 
 @column_function("array<struct<path:string,text:string,unit:string,named:int,n:int,first:boolean>>")
@@ -131,9 +122,9 @@ def tokens_of(pages: pd.Series) -> pd.Series:
     out = []
     for html in pages:
         tokens = page_tokens(html)
-        counts, seen, rows = Counter(tokens), set(), []
-        for path, text in tokens:
-            rows.append({"path": path, "text": text, "unit": unit_of(path), "named": named_level(path),
+        counts, seen, rows = Counter((path, text) for path, text, *_ in tokens), set(), []
+        for path, text, unit, level in tokens:
+            rows.append({"path": path, "text": text, "unit": unit, "named": level,
                          "n": counts[path, text], "first": (path, text) not in seen})
             seen.add((path, text))
         out.append(rows)
@@ -284,12 +275,12 @@ def main_text(pages: DataFrame) -> DataFrame:
     parsed = pages.select("page_id", "url", F.xxhash64(host).alias("host_key"), tokens_of(F.col("html")).alias("tokens"))
     parsed = staged(parsed.withColumn("rid", F.monotonically_increasing_id()), "tokens")
     each = parsed.select("host_key", "rid", F.posexplode("tokens").alias("at", "b"))
-    tokens = each.select("host_key", "rid", "at", F.xxhash64("b.path", "b.text").alias("tok"), F.xxhash64("b.path").alias("own"), "b.n", "b.first")
+    tokens = staged(each.select(
+        "host_key", "rid", "at", F.xxhash64("b.path", "b.text").alias("tok"), F.xxhash64("b.path").alias("own"),
+        F.xxhash64("b.unit").alias("unit"), "b.named", F.length("b.text").alias("chars"), "b.n", "b.first",
+    ), "hashes")
     fixed = template_texts(tokens).withColumn("fixed", F.lit(True))
-    texts = each.filter("b.text is not null").select(
-        "host_key", "rid", "at", F.xxhash64("b.path", "b.text").alias("tok"), F.xxhash64("b.unit").alias("unit"), "b.named",
-        F.length("b.text").alias("chars"),
-    )
+    texts = tokens.filter("chars is not null").select("host_key", "rid", "at", "tok", "unit", "named", "chars")
     texts = join_salted(texts, fixed, ["host_key", "tok"], "left").withColumn("slot", F.col("fixed").isNull() | (F.col("named") == 2))
     units = texts.groupBy("rid", "host_key", "unit", "named").agg(
         F.sum(F.when(F.col("slot"), F.col("chars")).otherwise(0)).alias("slot_chars"), F.sum("chars").alias("chars"),
@@ -302,7 +293,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     units = join_salted(units, amounts, ["host_key", "unit", "named"])
     on_page = F.array_sort(F.collect_list(F.struct("unit", "named", "amount", "whole", "pages", "slots", "blocks")))
     kept = units.groupBy("rid").agg(on_page.alias("units")).select("rid", chosen_places(F.col("units")).alias("kept"))
-    joined = parsed.join(kept, "rid", "left")
-    blocks = F.filter("tokens", lambda b, i: F.array_contains("kept", i))
-    text = F.coalesce(F.array_join(F.transform(blocks, lambda b: b["text"]), " "), F.lit(""))
+    joined = parsed.select("page_id", "url", "rid", F.col("tokens.text").alias("texts")).join(kept, "rid", "left")
+    blocks = F.filter("texts", lambda _, i: F.array_contains("kept", i))
+    text = F.coalesce(F.array_join(blocks, " "), F.lit(""))
     return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

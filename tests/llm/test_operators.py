@@ -317,6 +317,16 @@ def test_template_decides_and_names_break_ties(spark):
     assert texts_of(spark, pages[:1]) == {0: "See 0"}
 
 
+def test_ids_of_single_pages_do_not_hide_the_template(spark):
+    page = "<div id='{0}' class='post-{0} text'><p>Fixed lead</p><p>{1}</p><div id='box-{0}'>All alike here</div></div>"
+    own = [f"Page {i} has words of its own" for i in range(4)]
+    names = ["first-things", "second", "third-a", "fourth"]
+    assert texts_of(spark, [page.format(name, text).replace("post-" + name, f"post-{i}") for i, (name, text) in enumerate(zip(names, own))]) == dict(enumerate(own))
+    paths = {token[0] for i in range(50) for token in templates.page_tokens(page.format(i, own[0]))}
+    assert len(paths) == 3
+    assert templates.page_tokens("<div id='sidebar'>x</div>")[-1][3] == 0
+
+
 def test_classes_are_ordered_and_nested():
     of = lambda *tokens: [{"vector": v, "own": v, "part": 0, "tok": t, "size": m, "pages": n} for v, t, m, n in tokens]
     assert [each[3] for each in templates.order_of(of((1, 5, 2, 9), (1, 6, 2, 9), (1, 5, 2, 9), (1, 6, 2, 9)))] == [True, True]
