@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+import uuid
 from collections import defaultdict
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -61,11 +62,14 @@ def _read_csv(spark: SparkSession, path: str) -> DataFrame:
     with_bad = StructType([*wide.fields, StructField("_bad", StringType())])
     read = spark.read.options(**options, columnNameOfCorruptRecord="_bad", enforceSchema=True)
     rows = read.schema(with_bad).csv(path, header=True)
-    beyond = [f"x{i}" for i in range(16)]
-    parsed = F.from_csv("_bad", ", ".join(f"`{name}` string" for name in [*places, *beyond]), {"escape": '"', "multiLine": "true"})
-    extra = F.coalesce(*[parsed[name] for name in beyond])
+    # Behind the last filled cell comes a mark; if it lies beyond the header's columns, so does that cell.
+    mark = uuid.uuid4().hex
+    marked = F.concat(F.regexp_replace("_bad", r"[,\r\n]+$", ""), F.lit(f",{mark}"))
+    cells = [*places, f"_{len(places)}"]
+    parsed = F.from_csv(marked, ", ".join(f"`{name}` string" for name in cells), {"escape": '"', "multiLine": "true"})
+    extra = ~F.coalesce(F.array_contains(F.array(*[parsed[name] for name in cells]), mark), F.lit(False))
     failed = F.raise_error(F.concat(F.lit("row with more cells than headers: "), F.col("_bad")))
-    checked = F.when(F.col("_bad").isNotNull() & extra.isNotNull(), failed.cast("string")).otherwise(F.col(places[0]))
+    checked = F.when(F.col("_bad").isNotNull() & extra, failed.cast("string")).otherwise(F.col(places[0]))
     return rows.select(checked.alias(places[0]), *places[1:]).toDF(*names)
 
 

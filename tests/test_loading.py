@@ -40,3 +40,16 @@ def test_clock_in_the_repeated_hour(spark):
             assert text == f"2025-11-02 {want}"
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_filled_cell_far_beyond_the_header(spark, tmp_path):
+    def load(row):
+        path = tmp_path / "wide.csv"
+        path.write_text(f'a,b\n1,2\n{row}\n"x,",3\n')
+        return sorted(tuple(each) for each in read_text(spark, f"file://{path}").collect())
+
+    for row in ("4,5" + "," * 17 + "lost", "4,5" + "," * 40 + '"far, out"' + ",,", "4,5,6"):
+        with pytest.raises(Exception, match="more cells than headers"):
+            load(row)
+    assert load('"4,",5' + "," * 30) == [("1", "2"), ("4,", "5"), ("x,", "3")]
+    assert load("4") == [("1", "2"), ("4", None), ("x,", "3")]
