@@ -12,6 +12,7 @@ from rosterline.llm.common import bucket_bits, hash_key, prefix_sums, staged
 
 LEVEL_BITS = 20  # of a coordinate
 TIE_BITS = 32  # of the hash that orders rows of equal coordinates
+ROW_BITS = 10  # of these, the last, from the number of the stored row
 DIGIT = 13  # bits that one histogram round settles
 
 
@@ -38,19 +39,21 @@ def kd_shards(docs: DataFrame, target_bytes: float | None = None, shards: int |
     ``shards`` of them, a power of two).
 
     Null texts are 1 byte and count as empty for the checksum; null metadata is a value of its own; repeated
-    rows can be cut apart; fewer rows than leaves leave shards empty. Other columns are not looked at.
+    rows can be cut apart, into 1,024 parts; fewer rows than leaves leave shards empty. Other columns are not looked at.
     """
     dimensions = dimensions or metadata()
     names = list(dimensions)
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     base = docs.select("doc_id", text_bytes().alias("size"), crc.alias("text_crc32"), hash_key("doc_id").alias("key"),
                        *[dimensions[name].alias(f"d_{name}") for name in names])
-    base = staged(base, "metadata")
+    base = staged(base.withColumn("rid", F.monotonically_increasing_id()), "metadata")
     total = base.agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"),
                      *[f(f"d_{name}").alias(f"{end}_{name}") for name in names for f, end in ((F.min, "low"), (F.max, "high"))]).first()
     levels = math.ceil(math.log2(shards)) if shards else max(0, math.ceil(math.log2((total["bytes"] or 1) / target_bytes)))
     steps = (1 << LEVEL_BITS) - 1
-    tie = F.xxhash64("key", "doc_id", "text_crc32", "size").bitwiseAND((1 << TIE_BITS) - 1)
+    # Rows that are equal in all of these lie beside each other, in 1,024 places that can be cut apart.
+    same = F.xxhash64("key", "doc_id", "text_crc32", "size").bitwiseAND((1 << (TIE_BITS - ROW_BITS)) - 1)
+    tie = F.shiftleft(same, ROW_BITS).bitwiseOR(F.xxhash64("rid").bitwiseAND((1 << ROW_BITS) - 1))
     places = []
     for name in names:
         low, high = total[f"low_{name}"], total[f"high_{name}"]

@@ -238,6 +238,17 @@ def test_licenses(docs, none, spark):
     assert licenses.license_scan(none).count() == 0
 
 
+def test_one_repeated_row_is_cut_apart(spark):
+    rows = [(7, "the same text")] * 400 + [(i, f"text of its own {i}") for i in range(1000, 1400)]
+    rows = [(*row, "a", "en") for row in [*rows, *[(None, "no id")] * 400]]
+    out = kd_shards.kd_shards(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), shards=4).collect()
+    of = Counter()
+    for row in out:
+        of[row["shard"]] += row["size"]
+    mean = sum(of.values()) / 4
+    assert all(abs(size - mean) <= 0.02 * mean for size in of.values()) and len(of) == 4
+
+
 def scanned(text):
     """The labels that one text has, without Spark; every word is equally rare."""
     words = licenses.words_of(text)
