@@ -56,6 +56,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return system.exists(place)
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder; nothing happens if there is none."""
+    system, place = _place(spark, path)
+    system.delete(place, True)
+
+
 def full_uri(spark: SparkSession, path: str) -> str:
     """The path with the file system that Spark would use for it."""
     system, place = _place(spark, path)
