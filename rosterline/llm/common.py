@@ -22,10 +22,15 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
     Cuts the lineage, so that a lost executor costs no more than one step, and fixes row ids and sizes.
     """
+    return staged_at(df, label)[0]
+
+
+def staged_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``staged`` and its folder, for ``remove_path`` once nothing reads it any more."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def column_function(returns: str):

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterline.llm import kd_shards, licenses, mixing, packing, preference, quality_rules, simhash, templates, top_k, toxicity
+from rosterline.llm import (
+    centroids, kd_shards, licenses, mixing, packing, periodic, preference, quality_rules, sentence_pieces, simhash, templates, top_k,
+    toxicity,
+)
 from rosterline.llm.common import read
 
 
@@ -56,15 +59,92 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+# The words of a text, and those of a copy that repeats its words from number a on with period p.
+_PLANTED = r"""
+CASE WHEN crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 10 = 0 THEN element_at(transform(
+  array(named_struct('w', regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+', 0),
+    'g', crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) div 10)),
+  s -> CASE WHEN size(s.w) = 0 THEN '' ELSE array_join(flatten(transform(
+    array(named_struct('w', s.w, 'a', CAST(s.g % size(s.w) AS INT),
+      'p', CAST(1 + (size(s.w) - s.g % size(s.w)) div (3 + s.g % 8) AS INT))),
+    t -> transform(t.w, (word, i) -> CASE WHEN i < t.a THEN word ELSE t.w[t.a + (i - t.a) % t.p] END))), ' ') END), 1)
+ELSE text END
+"""
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.expr(_PLANTED).alias("text"))
+    found = periodic.periodic_runs(docs)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[name].cast("string") for name in ("start", "length", "period")]), F.lit("\n")))
+    best = F.element_at(F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("shorter"), r["start"].alias("start"), r["period"].alias("period")))), 1)
+    first = found.withColumn("best", F.when(F.size("runs") > 0, best)).withColumn("length", -F.col("best.shorter"))
+    return first.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), "length",
+        F.col("best.period").alias("period"), F.expr("1000 * length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words",
+    )
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = centroids.whole_vectors(read(spark, sf_dir, "embeddings"), length=64, scale=64)
+    return centroids.clustering(vectors, k=16, rounds=3, seed=1).drop("rescans")
+
+
+def piece_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sentence_pieces.encoded(read(spark, sf_dir, "documents"), piece_bpe())
+    ids = F.array_join(F.transform("ids", lambda each: each.cast("string")), ",")
+    return found.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     query.__name__: query
     for query in (
         op1_quality_rules, op2_source_mix, op3_mixture_packing, op4_exact_top_k, op5_pairwise_quality,
-        op6_kd_shards, op7_license_scan, op8_toxicity, op9_main_text, op10_simhash,
+        op6_kd_shards, op7_license_scan, op8_toxicity, op9_main_text, op10_simhash, op11_periodic_runs,
+        op12_centroid_clustering, op13_sentence_pieces,
     )
 }
 
+def _clustering_sql(k: int, rounds: int, length: int, scale: int, seed: int) -> str:
+    """Every round compares all vectors with all centroids."""
+    parts = [f"""vectors AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS rid, list_transform(embedding, lambda x: floor(CAST({scale} AS DOUBLE) * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE len(embedding) = {length} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"""c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY key, v) - 1 AS INT) AS cluster, v
+  FROM (SELECT sha256('{seed}:' || coalesce(CAST(vec_id AS VARCHAR), 'null')) AS key, v FROM vectors ORDER BY key, v LIMIT {k}))"""]
+    for turn in range(rounds + 1):
+        parts.append(f"""a{turn} AS MATERIALIZED (
+  SELECT vec_id, v, n.cluster, CAST(n.distance AS BIGINT) AS distance FROM (
+    SELECT any_value(x.vec_id) AS vec_id, any_value(x.v) AS v, min({{'distance': list_dot_product(x.v, x.v) - 2 * list_dot_product(x.v, c.v)
+      + list_dot_product(c.v, c.v), 'cluster': c.cluster}}) AS n FROM vectors x, c{turn} c GROUP BY x.rid))""")
+        if turn < rounds:
+            parts.append(f"""m{turn} AS MATERIALIZED (
+  SELECT cluster, list(mean ORDER BY place) AS v FROM (
+    SELECT cluster, place, floor(sum(x) / count(*)) AS mean FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS place FROM a{turn})
+    GROUP BY cluster, place) GROUP BY cluster)""")
+            parts.append(f"""c{turn + 1} AS MATERIALIZED (
+  SELECT c.cluster, coalesce(m.v, c.v) AS v FROM c{turn} c LEFT JOIN m{turn} m ON c.cluster = m.cluster)""")
+    return f"""
+WITH {", ".join(parts)}
+SELECT a.vec_id, a.cluster, a.distance, CAST(sum(a.distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.distance) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(list_transform(c.v, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON a.cluster = c.cluster
+"""
+
+
 SQL = {
+    "op12_centroid_clustering": _clustering_sql(16, 3, 64, 64, 1),
     "op2_source_mix": """
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
