@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections.abc import Iterable
 from functools import lru_cache
+from itertools import chain
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 SPACE = "▁"  # stands for a space in pieces
 SLICE = 256  # documents encoded and checked together
-MOST_CACHED = 200_000  # chunks of at most LONGEST_CACHED symbols remembered by a worker
+MOST_CACHED = 500_000  # chunks of at most LONGEST_CACHED symbols remembered by a worker: some 150 MB
 LONGEST_CACHED = 64
 NOT_UTF8 = "�"
 
@@ -23,6 +24,26 @@ class MismatchError(RuntimeError):
     """The library gives other ids, or another text, than this module."""
 
 
+def _chunk_pattern(pieces: Iterable[str]) -> str:
+    """A pattern for the chunks of a text: stretches that no piece reaches beyond, so that no merge does either.
+
+    A text is cut between two symbols that stand beside each other in no piece: around symbols that no piece joins
+    with another; before a space, if no piece has one behind another symbol; and behind a letter before what is
+    none, if no piece holds the two.
+    """
+    pairs = {piece[at : at + 2] for piece in pieces for at in range(len(piece) - 1)}
+    joined = {symbol for pair in pairs for symbol in pair} - {SPACE}
+    if any(second == SPACE != first for first, second in pairs):
+        return "(?s:.+)"
+    letters = sorted(symbol for symbol in joined if symbol.isalpha())
+    others = sorted(joined.difference(letters))
+    inner = "".join(map(re.escape, [*others, *letters]))
+    if not letters or not others or any(first in letters and second in others for first, second in pairs):
+        return f"{SPACE}*[{inner}]+|{SPACE}+|(?s:.)" if inner else f"{SPACE}+|(?s:.)"
+    letters, others = ("".join(map(re.escape, each)) for each in (letters, others))
+    return f"{SPACE}*[{others}]*[{letters}]+|{SPACE}*[{others}]+|{SPACE}+|(?s:.)"
+
+
 class Pieces:
     """A merge-type vocabulary with byte fallback, spaces kept, and one space put before the text.
 
@@ -46,70 +67,71 @@ class Pieces:
         probe = "  ａ ﬁ b  \n"
         if library.decode(library.encode(probe)) != probe or not library.id_to_piece(library.encode("a")[0]).startswith(SPACE):
             raise ValueError(f"{path!r} changes texts before it encodes them")
-        # No piece has a space behind another symbol, so no merge goes over such a place and chunks are independent.
-        self.chunk = re.compile(f"{SPACE}*[^{SPACE}]*")
-        if not all(self.chunk.fullmatch(text) for text in self.ids):
-            self.chunk = re.compile("(?s).+")
+        self.chunk = re.compile(_chunk_pattern(self.ids))
+        self.ranks = {text: -self.scores[i] for text, i in self.ids.items()}
         self.plain = [b"" if library.is_control(i) else texts[i].replace(SPACE, " ").encode() for i in range(size)]
         self.plain[self.unknown] = " ⁇ ".encode()  # fixed value: what the library prints for an unknown piece
         self.raw = {i: value for value, i in self.bytes.items()}
         for i, value in self.raw.items():
             self.plain[i] = bytes([value])
         self.shown = [not library.is_control(i) for i in range(size)]
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.recent: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
 
-    def encode_chunk(self, chunk: str) -> tuple[int, ...]:
+    def encode_chunk(self, chunk: str) -> list[int]:
         """Ids of a text without a cut.
 
         Starts from single characters. The agenda holds each two neighbours whose joined text is a piece, by
         score, the leftmost of equals first. The best is merged and its new neighbours join the agenda; an entry is
         stale when one of its two symbols has changed since. What is no piece in the end goes out as bytes.
         """
-        symbols: list[str] = list(chunk)
-        before, after = list(range(-1, len(symbols) - 1)), list(range(1, len(symbols) + 1))
-        ids, scores, end, agenda = self.ids, self.scores, len(symbols), []
-
-        def offer(left: int, right: int) -> None:
-            joined = symbols[left] + symbols[right]
-            number = ids.get(joined)
-            if number is not None:
-                heapq.heappush(agenda, (-scores[number], left, right, len(joined), joined))
-
-        for left in range(end - 1):
-            offer(left, left + 1)
+        end, ranks = len(chunk), self.ranks
+        symbols, before, after = list(chunk), list(range(-1, end - 1)), list(range(1, end + 1))
+        agenda = [(ranks[pair], at, pair) for at in range(end - 1) if (pair := chunk[at : at + 2]) in ranks]
+        heapq.heapify(agenda)
         while agenda:
-            _, left, right, length, joined = heapq.heappop(agenda)
-            if not symbols[left] or not symbols[right] or len(symbols[left]) + len(symbols[right]) != length:
+            _, left, joined = heapq.heappop(agenda)
+            right = after[left]
+            if right >= end or not symbols[left] or symbols[left] + symbols[right] != joined:
                 continue
             symbols[left], symbols[right] = joined, ""
-            after[left] = after[right]
-            if after[left] < end:
-                before[after[left]] = left
-                offer(left, after[left])
-            if before[left] >= 0:
-                offer(before[left], left)
+            following, preceding = after[right], before[left]
+            after[left] = following
+            if following < end:
+                before[following] = left
+                longer = joined + symbols[following]
+                if longer in ranks:
+                    heapq.heappush(agenda, (ranks[longer], left, longer))
+            if preceding >= 0:
+                longer = symbols[preceding] + joined
+                if longer in ranks:
+                    heapq.heappush(agenda, (ranks[longer], preceding, longer))
         out: list[int] = []
         for symbol in symbols:
-            if symbol:
-                number = ids.get(symbol)
-                out.extend((number,) if number is not None else (self.bytes[b] for b in symbol.encode("utf-8", "surrogatepass")))
-        return tuple(out)
+            if symbol in self.ids:
+                out.append(self.ids[symbol])
+            elif symbol:
+                out.extend(self.bytes[b] for b in symbol.encode("utf-8", "surrogatepass"))
+        return out
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text, without begin or end."""
         if not text:
             return []
-        cache, out = self.cache, []
-        for chunk in self.chunk.findall(SPACE + text.replace(" ", SPACE)):
-            found = cache.get(chunk)
-            if found is None:
-                found = self.encode_chunk(chunk)
-                if len(chunk) <= LONGEST_CACHED:
-                    if len(cache) >= MOST_CACHED:
-                        cache.clear()
-                    cache[chunk] = found
-            out += found
-        return out
+        chunks = self.chunk.findall(SPACE + text.replace(" ", SPACE))
+        found = list(map(self.recent.get, chunks))
+        if None in found:
+            found = [ids if ids is not None else self._looked_up(chunk) for chunk, ids in zip(chunks, found)]
+        return list(chain.from_iterable(found))
+
+    def _looked_up(self, chunk: str) -> list[int]:
+        """Ids of a chunk, remembered. Half of the memory is given up at a time: what was not met since the last time."""
+        ids = self.recent.get(chunk) or self.older.get(chunk) or self.encode_chunk(chunk)
+        if len(chunk) <= LONGEST_CACHED:
+            if len(self.recent) >= MOST_CACHED // 2:
+                self.recent, self.older = {}, self.recent
+            self.recent[chunk] = ids
+        return ids
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids: without the space put before it, and a mark for each byte that is not UTF-8."""
@@ -196,10 +218,8 @@ def encoded(docs: DataFrame, model: str, id_column: str = "doc_id", text_column:
                 else:
                     ids = [pieces.encode(text) for text in texts]
                     decoded = [pieces.decode(each) for each in ids]
-                offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-                flat = np.concatenate([np.array(each, dtype=np.int32) for each in ids])
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)).cast(schema.field("ids").type)
-                columns = [part.column("doc_id").cast(schema.field("doc_id").type), lists, pa.array(decoded, schema.field("decoded").type)]
+                columns = [part.column("doc_id").cast(schema.field("doc_id").type)]
+                columns += [pa.array(values, schema.field(name).type) for name, values in (("ids", ids), ("decoded", decoded))]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return narrow.mapInArrow(encode, ddl)

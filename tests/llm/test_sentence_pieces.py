@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -31,6 +32,14 @@ def test_odd_texts_and_ids(pieces):
         assert pieces.decode(ids) == pieces.library.decode(ids)
 
 
+def test_chunks():
+    pattern = sentence_pieces._chunk_pattern(["▁a", "ab", "a", "(a", "((", "▁▁"])
+    cut = re.compile(pattern).findall("▁▁ab(ab((a)x▁(▁")
+    assert cut == ["▁▁ab", "(ab", "((a", ")", "x", "▁(", "▁"]
+    assert re.compile(sentence_pieces._chunk_pattern(["a▁"])).findall("x a\ny") == ["x a\ny"]
+    assert re.compile(sentence_pieces._chunk_pattern(["a(", "ba"])).findall("ba(▁a") == ["ba(", "▁a"]
+
+
 def test_long_chunks(pieces):
     for text in ("aaaab" * 8000, " " * 5000, "\U0001f600" * 3000, "▁" * 3000 + "x", "the" * 6000):
         assert pieces.encode(text) == pieces.library.encode(text)
@@ -39,18 +48,18 @@ def test_long_chunks(pieces):
 
 def test_cache_is_bounded(pieces, monkeypatch):
     monkeypatch.setattr(sentence_pieces, "MOST_CACHED", 5)
-    pieces.cache.clear()
+    pieces.recent, pieces.older = {}, {}
     text = " ".join(f"w{i % 13}x" for i in range(100)) + " " + "y" * 100
     assert pieces.encode(text) == pieces.library.encode(text)
-    assert len(pieces.cache) <= 5
+    assert len(pieces.recent) <= 3 and len(pieces.older) <= 3
 
 
 def test_a_difference_fails(pieces, monkeypatch):
-    monkeypatch.setattr(type(pieces), "encode_chunk", lambda self, chunk: (5,))
-    pieces.cache.clear()
+    monkeypatch.setattr(type(pieces), "encode_chunk", lambda self, chunk: [5])
+    pieces.recent, pieces.older = {}, {}
     with pytest.raises(sentence_pieces.MismatchError):
         pieces.checked(["some text"])
-    pieces.cache.clear()
+    pieces.recent, pieces.older = {}, {}
 
 
 def test_query(spark, tmp_path, pieces):
