@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterable
 from functools import lru_cache
-from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,6 +17,8 @@ SPACE = "▁"  # stands for a space in pieces
 SLICE = 256  # documents encoded and checked together
 MOST_CACHED = 500_000  # chunks of at most LONGEST_CACHED symbols remembered by a worker: some 150 MB
 LONGEST_CACHED = 64
+WHOLE = "(?s:.+)"  # the chunk pattern where texts cannot be cut
+MARK = "\x00"  # put before a chunk, so that the library puts no space there
 NOT_UTF8 = "�"
 
 
@@ -34,7 +36,7 @@ def _chunk_pattern(pieces: Iterable[str]) -> str:
     pairs = {piece[at : at + 2] for piece in pieces for at in range(len(piece) - 1)}
     joined = {symbol for pair in pairs for symbol in pair} - {SPACE}
     if any(second == SPACE != first for first, second in pairs):
-        return "(?s:.+)"
+        return WHOLE
     letters = sorted(symbol for symbol in joined if symbol.isalpha())
     others = sorted(joined.difference(letters))
     inner = "".join(map(re.escape, [*others, *letters]))
@@ -67,7 +69,8 @@ class Pieces:
         probe = "  ａ ﬁ b  \n"
         if library.decode(library.encode(probe)) != probe or not library.id_to_piece(library.encode("a")[0]).startswith(SPACE):
             raise ValueError(f"{path!r} changes texts before it encodes them")
-        self.chunk = re.compile(_chunk_pattern(self.ids))
+        pattern = WHOLE if any(MARK in text for text in self.ids) else _chunk_pattern(self.ids)
+        self.chunk, self.lead = re.compile(pattern), [] if pattern == WHOLE else library.encode(MARK)
         self.ranks = {text: -self.scores[i] for text, i in self.ids.items()}
         self.plain = [b"" if library.is_control(i) else texts[i].replace(SPACE, " ").encode() for i in range(size)]
         self.plain[self.unknown] = " ⁇ ".encode()  # fixed value: what the library prints for an unknown piece
@@ -75,8 +78,8 @@ class Pieces:
         for i, value in self.raw.items():
             self.plain[i] = bytes([value])
         self.shown = [not library.is_control(i) for i in range(size)]
-        self.recent: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode_chunk(self, chunk: str) -> list[int]:
         """Ids of a text without a cut.
@@ -114,25 +117,40 @@ class Pieces:
                 out.extend(self.bytes[b] for b in symbol.encode("utf-8", "surrogatepass"))
         return out
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of a whole text, without begin or end."""
-        if not text:
-            return []
-        chunks = self.chunk.findall(SPACE + text.replace(" ", SPACE))
-        found = list(map(self.recent.get, chunks))
-        if None in found:
-            found = [ids if ids is not None else self._looked_up(chunk) for chunk, ids in zip(chunks, found)]
-        return list(chain.from_iterable(found))
-
-    def _looked_up(self, chunk: str) -> list[int]:
+    def encode(self, texts: list[str], check: bool = True) -> list[list[int]]:
+        """Ids of whole texts, without begin or end.
+
+        Chunks that are not remembered are encoded, and with ``check`` compared with what the library gives for
+        them, all in one call: so every id that goes out is the library's as well.
+        """
+        new: dict[str, bytes] = {}
+        out = []
+        for text in texts:
+            chunks = self.chunk.findall(SPACE + text.replace(" ", SPACE)) if text else []
+            found = list(map(self.recent.get, chunks))
+            if None in found:
+                found = [ids if ids is not None else self._looked_up(chunk, new) for chunk, ids in zip(chunks, found)]
+            out.append(array("i", b"".join(found)).tolist())
+        if check and new and [array("i", ids).tolist() for ids in new.values()] != self._library_ids(list(new)):
+            raise MismatchError("the library encodes a text of this batch otherwise")
+        return out
+
+    def _looked_up(self, chunk: str, new: dict[str, bytes]) -> bytes:
         """Ids of a chunk, remembered. Half of the memory is given up at a time: what was not met since the last time."""
-        ids = self.recent.get(chunk) or self.older.get(chunk) or self.encode_chunk(chunk)
+        ids = self.recent.get(chunk) or new.get(chunk) or self.older.get(chunk)
+        if ids is None:
+            ids = new[chunk] = array("i", self.encode_chunk(chunk)).tobytes()
         if len(chunk) <= LONGEST_CACHED:
             if len(self.recent) >= MOST_CACHED // 2:
                 self.recent, self.older = {}, self.recent
             self.recent[chunk] = ids
         return ids
 
+    def _library_ids(self, chunks: list[str]) -> list[list[int]]:
+        if not self.lead:  # texts are not cut: a chunk is a text with the space put before it
+            return self.library.encode([chunk[1:] for chunk in chunks], num_threads=1)
+        return [ids[len(self.lead):] for ids in self.library.encode([MARK + chunk for chunk in chunks], num_threads=1)]
+
     def decode(self, ids: list[int]) -> str:
         """The text of the ids: without the space put before it, and a mark for each byte that is not UTF-8."""
         plain = self.plain
@@ -176,13 +194,11 @@ class Pieces:
         flush()
         return "".join(out)
 
-    def checked(self, texts: list[str]) -> tuple[list[list[int]], list[str]]:
-        """Ids and decoded texts, compared with the library's."""
-        ids = [self.encode(text) for text in texts]
-        if ids != self.library.encode(texts, num_threads=1):
-            raise MismatchError("the library encodes a text of this batch otherwise")
+    def both_ways(self, texts: list[str], check: bool = True) -> tuple[list[list[int]], list[str]]:
+        """Ids and decoded texts; with ``check`` both are compared with the library's."""
+        ids = self.encode(texts, check)
         decoded = [self.decode(each) for each in ids]
-        if decoded != self.library.decode(ids, num_threads=1):
+        if check and decoded != self.library.decode(ids, num_threads=1):
             raise MismatchError("the library decodes a text of this batch otherwise")
         return ids, decoded
 
@@ -195,9 +211,9 @@ def _pieces(path: str) -> Pieces:
 def encoded(docs: DataFrame, model: str, id_column: str = "doc_id", text_column: str = "text", check: bool = True) -> DataFrame:
     """doc_id, ids and ``decoded`` text of every document.
 
-    The text is cut where no merge can cross, each chunk is encoded by an agenda of its neighbouring symbols (see
-    ``Pieces``), and chunks met before are looked up. With ``check`` every batch is compared, whole texts, with
-    the library's own encoding and decoding, and a difference fails the job. A null or empty text has no ids and
+    The text is cut where no merge can cross (see ``_chunk_pattern``), each chunk is encoded by an agenda of its
+    neighbouring symbols, and chunks met before are looked up. With ``check`` every Arrow batch is compared with the
+    library: the ids of each chunk when the worker meets it, the decoded texts as a whole; a difference fails the job. A null or empty text has no ids and
     decodes to an empty text. Rows that repeat an id are documents of their own; an empty table gives no rows;
     other columns are not looked at. ``model`` is a path that every executor can open. A text is held by one task;
     a chunk without spaces takes time in proportion to its length and the logarithm of it.
@@ -213,11 +229,7 @@ def encoded(docs: DataFrame, model: str, id_column: str = "doc_id", text_column:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 texts = [text or "" for text in part.column("text").to_pylist()]
-                if check:
-                    ids, decoded = pieces.checked(texts)
-                else:
-                    ids = [pieces.encode(text) for text in texts]
-                    decoded = [pieces.decode(each) for each in ids]
+                ids, decoded = pieces.both_ways(texts, check)
                 columns = [part.column("doc_id").cast(schema.field("doc_id").type)]
                 columns += [pa.array(values, schema.field(name).type) for name, values in (("ids", ids), ("decoded", decoded))]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)

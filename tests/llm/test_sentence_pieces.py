@@ -27,7 +27,7 @@ def test_odd_texts_and_ids(pieces):
     draw = random.Random(8)
     for _ in range(3000):
         text = "".join(draw.choice(ODD) for _ in range(draw.randrange(25)))
-        assert pieces.encode(text) == pieces.library.encode(text)
+        assert pieces.encode([text]) == [pieces.library.encode(text)]
         ids = [draw.choice([draw.randrange(32_000), draw.randrange(259), 29_871, 259]) for _ in range(draw.randrange(12))]
         assert pieces.decode(ids) == pieces.library.decode(ids)
 
@@ -42,26 +42,34 @@ def test_chunks():
 
 def test_long_chunks(pieces):
     for text in ("aaaab" * 8000, " " * 5000, "\U0001f600" * 3000, "▁" * 3000 + "x", "the" * 6000):
-        assert pieces.encode(text) == pieces.library.encode(text)
-        assert pieces.decode(pieces.encode(text)) == pieces.library.decode(pieces.library.encode(text))
+        assert pieces.encode([text]) == [pieces.library.encode(text)]
+        assert pieces.decode(pieces.encode([text])[0]) == pieces.library.decode(pieces.library.encode(text))
 
 
 def test_cache_is_bounded(pieces, monkeypatch):
     monkeypatch.setattr(sentence_pieces, "MOST_CACHED", 5)
     pieces.recent, pieces.older = {}, {}
     text = " ".join(f"w{i % 13}x" for i in range(100)) + " " + "y" * 100
-    assert pieces.encode(text) == pieces.library.encode(text)
-    assert len(pieces.recent) <= 3 and len(pieces.older) <= 3
+    assert pieces.encode([text]) == [pieces.library.encode(text)]
+    assert len(pieces.recent) <= 2 and len(pieces.older) <= 2
 
 
 def test_a_difference_fails(pieces, monkeypatch):
     monkeypatch.setattr(type(pieces), "encode_chunk", lambda self, chunk: [5])
     pieces.recent, pieces.older = {}, {}
     with pytest.raises(sentence_pieces.MismatchError):
-        pieces.checked(["some text"])
+        pieces.both_ways(["some text"])
     pieces.recent, pieces.older = {}, {}
 
 
+def test_whole_texts_of_the_table(pieces):
+    import pyarrow.parquet as pq
+
+    texts = [text or "" for text in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()]
+    ids, decoded = pieces.both_ways(texts)
+    assert ids == pieces.library.encode(texts) and decoded == pieces.library.decode(ids)
+
+
 def test_query(spark, tmp_path, pieces):
     rows = rows_of() + [(2000 + i, text, "en", "s", 0, "r", 0, "k", 0) for i, text in enumerate(["", " ", "x" * 5000, "".join(ODD) * 20])]
     spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
