@@ -1,7 +1,14 @@
-"""Tables and views of the session catalog."""
+"""Tables and views of the session catalog.
+
+A stored table is a name that points to its latest version. Each version is a table of its own in a companion
+database, written once and never changed; the name is a view of one version, and replacing the table is
+replacing that view: one change in the catalog, whatever the columns, with no moment without a table. A reader
+that has begun goes on with the version it began with, until ``sweep_versions`` removes it.
+"""
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 import uuid
 
@@ -15,58 +22,153 @@ LOOKUPS = ("map_",)
 VIEWS = ("pdl", "dashboard")
 
 
-def _identifier(name: str, suffix: str = "") -> str:
-    """The name, its parts quoted; a part in backticks may hold dots. The suffix goes to the last part."""
-    parts = [part[1:-1].replace("``", "`") if part[0] == "`" else part for part in re.findall(r"`(?:[^`]|``)+`|[^.`]+", name)]
-    return ".".join(quoted(part) for part in [*parts[:-1], parts[-1] + suffix])
+VERSIONS = "{}__versions"
+KEEP = dt.timedelta(days=1)
+_VERSION_TIME = "%Y%m%d%H%M%S%f"
+_VERSION_NAME = re.compile(r"^(.+)__v(\d{20})_[0-9a-f]{6}$", re.DOTALL)
+
+
+def _name_parts(name: str) -> list[str]:
+    """The parts of a name; one in backticks may hold dots."""
+    return [part[1:-1].replace("``", "`") if part[0] == "`" else part for part in re.findall(r"`(?:[^`]|``)+`|[^.`]+", name)]
+
+
+def _identifier(name: str) -> str:
+    return ".".join(quoted(part) for part in _name_parts(name))
+
+
+def _database_and_table(spark: SparkSession, name: str) -> tuple[str, str]:
+    *database, table = _name_parts(name)
+    return database[-1] if database else spark.catalog.currentDatabase(), table
 
 
 def read_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(_identifier(name))
 
 
+def _versions(spark: SparkSession, database: str) -> dict[str, list[str]]:
+    """Names of the versions by table, the oldest first."""
+    found: dict[str, list[str]] = {}
+    if spark.catalog.databaseExists(quoted(VERSIONS.format(database))):
+        for each in sorted(t.name for t in spark.catalog.listTables(quoted(VERSIONS.format(database))) if not t.isTemporary):
+            if match := _VERSION_NAME.match(each):
+                found.setdefault(match[1], []).append(each)
+    return found
+
+
+def _relations(spark: SparkSession, database: str | None) -> list[tuple[str, str, bool]]:
+    """(name, kind, whether of the session only) of all tables and views, in two calls of the catalog."""
+    database = database or spark.catalog.currentDatabase()
+    stored = _versions(spark, database)
+    return [
+        (t.name, "view" if t.tableType in ("VIEW", "TEMPORARY") and (t.isTemporary or t.name.lower() not in stored) else "table", t.isTemporary)
+        for t in spark.catalog.listTables(quoted(database))
+    ]
+
+
 def catalog_tables(spark: SparkSession, database: str | None = None) -> dict[str, DataFrame]:
     """Every table of the database by name, as the reports take them."""
     prefix = f"{quoted(database)}." if database else ""
-    found = [t.name for t in spark.catalog.listTables(database) if t.tableType not in ("VIEW", "TEMPORARY")]
-    return {name: read_table(spark, prefix + quoted(name)) for name in found}
+    return {name: read_table(spark, prefix + quoted(name)) for name, kind, _ in _relations(spark, database) if kind == "table"}
 
 
-def _rename(spark: SparkSession, name: str, to: str) -> None:
-    spark.sql(f"ALTER TABLE {_identifier(name)} RENAME TO {_identifier(to)}")
+def _kind(spark: SparkSession, name: str) -> str | None:
+    """``table`` for a name that points to a version, ``plain table`` for any other table, ``view``, or None."""
+    if not spark.catalog.tableExists(_identifier(name)):
+        return None
+    found = spark.catalog.getTable(_identifier(name))
+    if found.tableType not in ("VIEW", "TEMPORARY"):
+        return "plain table"
+    database, table = _database_and_table(spark, name)
+    return "table" if not found.isTemporary and table.lower() in _versions(spark, database) else "view"
 
 
-def replace_table(spark: SparkSession, name: str, df: DataFrame) -> DataFrame:
+def _versions_database(spark: SparkSession, database: str) -> str:
+    """The companion database, made beside the tables if it is not there yet."""
+    name = VERSIONS.format(database)
+    if not spark.catalog.databaseExists(quoted(name)):
+        location = spark.catalog.getDatabase(quoted(database)).locationUri.rstrip("/")
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {quoted(name)} LOCATION '{location}/{name}'")
+    return name
+
+
+def replace_table(spark: SparkSession, name: str, df: DataFrame, keep: dt.timedelta = KEEP) -> DataFrame:
     """Create the table, or replace it with its schema; ``df`` may read the table itself.
 
-    The rows are written to a new table first, so a failed write leaves the old one as it was. If the
-    swap fails half way, the old table is put back.
+    The rows are written as a new version, and then the name is made to point to it. If either fails, the name
+    still shows the old rows. Versions out of use for longer than ``keep`` are removed. A table that something else
+    made is taken over on its first replacement, and only then is there a moment without it.
     """
     check_headers(df)
-    mark = uuid.uuid4().hex[:8]
-    staged, former = _identifier(name, f"__new_{mark}"), _identifier(name, f"__old_{mark}")
-    df.write.format("parquet").saveAsTable(staged)
-    had = spark.catalog.tableExists(_identifier(name))
+    kind = _kind(spark, name)
+    if kind == "view":
+        raise ValueError(f"{name} is a view, not a table")
+    database, table = _database_and_table(spark, name)
+    time = dt.datetime.now(dt.timezone.utc).strftime(_VERSION_TIME)
+    mark = f"__v{time}_{uuid.uuid4().hex[:6]}"
+    version = f"{quoted(_versions_database(spark, database))}.{quoted(table.lower() + mark)}"
+    target = f"{quoted(database)}.{quoted(table)}"
+    df.write.format("parquet").saveAsTable(version)
+    former = f"{quoted(database)}.{quoted(f'{table}__former_{uuid.uuid4().hex[:6]}')}"
     try:
-        if had:
-            _rename(spark, name, former)
+        if kind == "plain table":
+            spark.sql(f"ALTER TABLE {target} RENAME TO {former}")
         try:
-            _rename(spark, staged, name)
+            spark.sql(f"CREATE OR REPLACE VIEW {target} AS SELECT * FROM {version}")
         except Exception:
-            if had:
-                _rename(spark, former, name)
+            if kind == "plain table":
+                spark.sql(f"ALTER TABLE {former} RENAME TO {target}")
             raise
     except Exception:
-        spark.sql(f"DROP TABLE IF EXISTS {staged}")
+        spark.sql(f"DROP TABLE IF EXISTS {version}")
         raise
-    if had:
+    if kind == "plain table":
         spark.sql(f"DROP TABLE {former}")
-    return read_table(spark, name)
+    elif kind:
+        sweep_versions(spark, database, keep, table)
+    return read_table(spark, target)
+
+
+def _current_version(spark: SparkSession, database: str, table: str) -> str | None:
+    """The version that the name points to."""
+    if not spark.catalog.tableExists(f"{quoted(database)}.{quoted(table)}"):
+        return None
+    described = spark.sql(f"DESCRIBE TABLE EXTENDED {quoted(database)}.{quoted(table)}")
+    text = described.filter("col_name = 'View Text'").first()
+    return _name_parts(text["data_type"].rsplit(" FROM ", 1)[-1])[-1] if text else None
+
+
+def sweep_versions(spark: SparkSession, database: str, keep: dt.timedelta = KEEP, table: str | None = None) -> list[str]:
+    """Remove versions that no name points to, once another took their place longer than ``keep`` ago; returns them.
+
+    Versions whose table is gone, and what an interrupted replacement has left, go as soon as they are that old.
+    """
+    limit = (dt.datetime.now(dt.timezone.utc) - keep).strftime(_VERSION_TIME)
+    gone = []
+    for name, versions in _versions(spark, database).items():
+        if table is not None and name != table.lower():
+            continue
+        if len(versions) == 1 and table is not None:
+            continue
+        current = _current_version(spark, database, name)
+        for at, version in enumerate(versions):
+            out_of_use = versions[at + 1] if at + 1 < len(versions) and version < (current or "") else version
+            if version != current and _VERSION_NAME.match(out_of_use)[2] <= limit:
+                gone.append(version)
+    for version in gone:
+        spark.sql(f"DROP TABLE IF EXISTS {quoted(VERSIONS.format(database))}.{quoted(version)}")
+    return gone
 
 
 def replace_view(spark: SparkSession, name: str, body: DataFrame | str) -> DataFrame:
-    """Create or replace a view: a lasting one over SQL text, one for this session over a DataFrame."""
+    """Create or replace a view: a lasting one over SQL text, one for this session over a DataFrame.
+
+    A lasting view names its tables, so it shows what they hold when it is read. See ``plans.standing`` for the
+    text of the reports.
+    """
     if isinstance(body, str):
+        if (_kind(spark, name) or "view") != "view":
+            raise ValueError(f"{name} is a table, not a view")
         spark.sql(f"CREATE OR REPLACE VIEW {_identifier(name)} AS {body}")
     else:
         body.createOrReplaceTempView(name)
@@ -78,10 +180,8 @@ def list_tables(spark: SparkSession, database: str | None = None, session_views:
 
     Views of the session belong to no database: they are listed if asked for, or if no database is named.
     """
-    listed = spark.catalog.listTables(database)
-    if not (database is None if session_views is None else session_views):
-        listed = [t for t in listed if not t.isTemporary]
-    rows = [(t.name, "view" if t.tableType in ("VIEW", "TEMPORARY") else "table") for t in listed]
+    with_session = database is None if session_views is None else session_views
+    rows = [(name, kind) for name, kind, of_session in _relations(spark, database) if with_session or not of_session]
     return spark.createDataFrame(rows, "table string, kind string")
 
 
@@ -125,10 +225,13 @@ def schema_text(spark: SparkSession, names: list[str]) -> str:
 
 
 def drop_relation(spark: SparkSession, name: str) -> str | None:
-    """Drop a view or a table, whichever the name is; returns its kind, or None when there is neither."""
-    if not spark.catalog.tableExists(_identifier(name)):
+    """Drop a view or a table, whichever the name is, with all its versions; returns its kind, or None if there is neither."""
+    kind = _kind(spark, name)
+    if kind is None:
         return None
-    found = spark.catalog.getTable(_identifier(name))
-    kind = "view" if found.tableType in ("VIEW", "TEMPORARY") else "table"
-    spark.sql(f"DROP {kind.upper()} IF EXISTS {_identifier(name)}")
-    return kind
+    spark.sql(f"DROP {'TABLE' if kind == 'plain table' else 'VIEW'} IF EXISTS {_identifier(name)}")
+    if kind == "table":
+        database, table = _database_and_table(spark, name)
+        for version in _versions(spark, database)[table.lower()]:
+            spark.sql(f"DROP TABLE IF EXISTS {quoted(VERSIONS.format(database))}.{quoted(version)}")
+    return kind.removeprefix("plain ")
