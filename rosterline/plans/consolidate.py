@@ -4,7 +4,8 @@ There are two forms with the same result. ``one_shuffle`` unions the narrowed fa
 once, so each fact is read once, and the one exchange carries a partial row per key and task; a hot key
 is no larger there than any other. A description travels as a (rank, value) struct, NULL where the value
 is: its least is a value of the best-ranked source that has one, so one column does the work of one per
-source. ``joined`` summarises each fact, builds the key spine and joins the
+source. The facts may be given as stored parts, one row per key already (see ``plans.parts``): these are
+merged instead of aggregated, and as they lie in buckets of one column, without an exchange. ``joined`` summarises each fact, builds the key spine and joins the
 summaries to it; it is the plain reading of the report and the check on the first form.
 """
 
@@ -21,6 +22,7 @@ from rosterline.operators.grain import Source, attach, spine, summarise, to_grai
 from rosterline.operators.headers import column, pick
 
 Tables = Mapping[str, DataFrame]
+KEY_HASH = "__key_hash"  # in a part: the column its rows are bucketed by
 
 
 @dataclass(frozen=True)
@@ -46,11 +48,15 @@ class Layout:
         return len(self.spine) == 1 and source == self.spine[0]
 
 
+def is_part(df: DataFrame) -> bool:
+    return KEY_HASH in df.columns
+
+
 def _present(source: Source) -> str:
     return f"has_{source.table}"
 
 
-def _carriers(layout: Layout) -> dict[str, str]:
+def carriers(layout: Layout) -> dict[str, str]:
     """Per description, the one that carries it: itself, or one that starts with the same sources and has more."""
 
     def starts_with(longer: str, shorter: str) -> bool:
@@ -63,20 +69,25 @@ def _carriers(layout: Layout) -> dict[str, str]:
 
 def _one_shuffle(tables: Tables, layout: Layout) -> DataFrame:
     measures = {name: source.measures[name] for name, source in layout.measures.items()}
-    carriers = _carriers(layout)
-    carried = {name: layout.attributes[name] for name in carriers.values()}
+    carrier = carriers(layout)
+    carried = {name: layout.attributes[name] for name in carrier.values()}
     bits = {source.table: 1 << i for i, source in enumerate(layout.spine)}
+    given = [is_part(tables[source.table]) for source in layout.sources]
+    if any(given) != all(given):
+        raise ValueError("either all facts are given as parts, or none")
+    parts = all(given)
 
     def narrowed(source: Source) -> DataFrame:
         df = tables[source.table]
-        columns = source.key_columns(df, layout.grain)
+        columns = [F.col(KEY_HASH), *[column(df, key) for key in layout.grain]] if parts else source.key_columns(df, layout.grain)
         if source in layout.spine:
             columns.append(F.lit(bits[source.table]).alias("__present"))
-        columns += [measures[name].input(df).alias(name) for name, owner in layout.measures.items() if owner == source]
+        own = [name for name, owner in layout.measures.items() if owner == source]
+        columns += [(F.col(name) if parts else measures[name].input(df)).alias(name) for name in own]
         for name, choices in carried.items():
             for rank, (owner, attribute) in enumerate(choices):
                 if owner == source:
-                    value = pick(df, *source.attributes[attribute])
+                    value = column(df, attribute) if parts else pick(df, *source.attributes[attribute])
                     ranked = F.struct(F.lit(rank).cast("byte").alias("rank"), value.alias("value"))
                     columns.append(F.when(value.isNotNull(), ranked).alias(name))
         return df.select(*columns)
@@ -87,9 +98,9 @@ def _one_shuffle(tables: Tables, layout: Layout) -> DataFrame:
     facts = reduce(together, [narrowed(source) for source in layout.sources])
     keys = [column(facts, key) for key in layout.grain]
     # Least values of text are aggregated in key order; with one number first, sorting seldom compares texts.
-    keyed = facts.groupBy(F.xxhash64(*keys).alias("__key_hash"), *keys).agg(
+    keyed = facts.groupBy(F.col(KEY_HASH) if parts else F.xxhash64(*keys).alias(KEY_HASH), *keys).agg(
         F.bit_or("__present").alias("__present"),
-        *[measures[name].over(F.col(name)).alias(name) for name in measures],
+        *[(F.sum(name) if parts else measures[name].over(F.col(name))).alias(name) for name in measures],
         *[F.min(name).alias(name) for name in carried],
     )
     keyed = keyed.filter(F.col("__present").isNotNull())
@@ -105,8 +116,8 @@ def _one_shuffle(tables: Tables, layout: Layout) -> DataFrame:
         return F.coalesce(present, F.lit(False)).alias(_present(source))
 
     def description(name: str) -> Column:
-        best, choices = F.col(carriers[name]), layout.attributes[name]
-        value = best["value"] if carriers[name] == name else F.when(best["rank"] < len(choices), best["value"])
+        best, choices = F.col(carrier[name]), layout.attributes[name]
+        value = best["value"] if carrier[name] == name else F.when(best["rank"] < len(choices), best["value"])
         return if_matched(layout.spine[0] if len(layout.spine) == 1 else None, value).alias(name)
 
     return keyed.select(

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rosterline.functions import label_missing, prediction_date, prediction_date_text, round5, zero_fill
 from rosterline.operators.grain import DEPARTMENT, GRADE, GRAIN_4, GRAIN_5, LOCATION, PRACTICE, PROJECT, Source, department_map
 from rosterline.operators.lookups import lookup, lookup_unique
-from rosterline.plans.consolidate import Layout, Tables, consolidate, has
+from rosterline.plans.consolidate import Layout, Tables, consolidate, has, is_part
 from rosterline.plans.facts import (
     ATTRITION, COUNTED_RELEASES, CURRENT, DEMAND, FULFILMENT, PREVIOUS, RELEASES,
 )
@@ -67,8 +67,14 @@ def add_grade(df: DataFrame, tables: Tables, grade: Column) -> DataFrame:
     return lookup(df, tables["map_grade"], {"Grade": grade}, {"CoD Grade": "CoD Grade"})
 
 
+DEPARTMENT_ID = ("HCM Department ID",)
+
+
 def add_department(df: DataFrame, tables: Tables) -> DataFrame:
-    departments = department_map(tables[CURRENT.table], CURRENT.keys[DEPARTMENT], ("HCM Department ID",))
+    """Department ids and towers. The ids come from the current headcount, or were mined when its part was stored."""
+    people = tables[CURRENT.table]
+    headers = ((DEPARTMENT,), ("department_id",)) if is_part(people) else (CURRENT.keys[DEPARTMENT], DEPARTMENT_ID)
+    departments = department_map(people, *headers)
     df = lookup(df, departments, {DEPARTMENT: F.col(DEPARTMENT)}, {"department_id": "department_id"})
     return lookup(df, tables["map_tower"], {"Department ID": F.col("department_id")}, {"Tower": "Tower"})
 
@@ -219,7 +225,7 @@ _FLOWS = {
 _FLOW_OUTPUTS = ("release_count", "attr_count", "open_demands", "demands_fulfilled")
 
 
-def _projection_layout(grain: Sequence[str], measures: dict[str, Source], bu_sources: Sequence[Source]) -> Layout:
+def projection_layout(grain: Sequence[str], measures: dict[str, Source], bu_sources: Sequence[Source]) -> Layout:
     described = {
         "project_name": "project_name",
         "project_type": "project_type",
@@ -257,7 +263,7 @@ def _projected(previous: Column, fulfilled: float, opened: float) -> Column:
 
 def report_grain4_d8(tables: Tables, form: str = "one_shuffle") -> DataFrame:
     """Projects with demand only join the report; flows count FTE. The lead roll-up reads this one."""
-    df = consolidate(tables, _projection_layout(GRAIN_4, {"prev_mon_billed_fte": PREVIOUS}, HEADCOUNT), form)
+    df = consolidate(tables, projection_layout(GRAIN_4, {"prev_mon_billed_fte": PREVIOUS}, HEADCOUNT), form)
     df = add_lead(df, tables, F.col("lead_account"))
     df = add_place(df, tables, F.col(LOCATION))
     df = add_cost(df, tables["cost_file"], F.col(PRACTICE), F.col(GRADE))
@@ -279,7 +285,7 @@ def report_grain4_d8(tables: Tables, form: str = "one_shuffle") -> DataFrame:
 
 def _report_grain5(tables: Tables, bu_sources: Sequence[Source], weights: Weights, form: str) -> DataFrame:
     measures = {"prev_mon_billed_fte": PREVIOUS, "prev_mon_total_fte": PREVIOUS}
-    df = consolidate(tables, _projection_layout(GRAIN_5, measures, bu_sources), form)
+    df = consolidate(tables, projection_layout(GRAIN_5, measures, bu_sources), form)
     df = add_lead(df, tables, F.col("lead_account"))
     df = add_department(df, tables)
     df = add_place(df, tables, F.col(LOCATION))

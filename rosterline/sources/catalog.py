@@ -92,9 +92,13 @@ def _versions_database(spark: SparkSession, database: str) -> str:
     return name
 
 
-def replace_table(spark: SparkSession, name: str, df: DataFrame, keep: dt.timedelta = KEEP) -> DataFrame:
+def replace_table(
+    spark: SparkSession, name: str, df: DataFrame, keep: dt.timedelta = KEEP, buckets: tuple[int, str] | None = None
+) -> DataFrame:
     """Create the table, or replace it with its schema; ``df`` may read the table itself.
 
+    With ``buckets``, a number and a column, rows with equal values lie in one of so many files, sorted by it.
+
     The rows are written as a new version, and then the name is made to point to it. If either fails, the name
     still shows the old rows. Versions out of use for longer than ``keep`` are removed. A table that something else
     made is taken over on its first replacement, and only then is there a moment without it.
@@ -108,7 +112,10 @@ def replace_table(spark: SparkSession, name: str, df: DataFrame, keep: dt.timede
     mark = f"__v{time}_{uuid.uuid4().hex[:6]}"
     version = f"{quoted(_versions_database(spark, database))}.{quoted(table.lower() + mark)}"
     target = f"{quoted(database)}.{quoted(table)}"
-    df.write.format("parquet").saveAsTable(version)
+    if buckets:
+        df.repartition(buckets[0], buckets[1]).write.format("parquet").bucketBy(*buckets).sortBy(buckets[1]).saveAsTable(version)
+    else:
+        df.write.format("parquet").saveAsTable(version)
     former = f"{quoted(database)}.{quoted(f'{table}__former_{uuid.uuid4().hex[:6]}')}"
     try:
         if kind == "plain table":

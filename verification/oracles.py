@@ -72,8 +72,16 @@ def flow(fixture: str, grain: int, grade: str, dept: str, measure: str) -> str:
     return f"SELECT project_id, practice, location, {grade} AS grade{dept}, {measure} FROM {fixture} GROUP BY ALL"
 
 
-def fulfilled(grain: int) -> str:
-    return flow("fulfilment", grain, "associate_hired_grade", "pool_name", f"SUM({num('fte_impact')}) AS fulfil_count")
+# A new upload of one fact, made from two of the inputs; both engines run it.
+NEW_FULFILMENT = """
+SELECT project_id, practice, location, associate_hired_grade, pool_name,
+  CASE WHEN fte_impact = '7' THEN '70' ELSE fte_impact END AS fte_impact FROM fulfilment
+UNION ALL SELECT project_id, practice, location, grade, department_name, fte_impact FROM attrition
+"""
+
+
+def fulfilled(grain: int, fixture: str = "fulfilment") -> str:
+    return flow(fixture, grain, "associate_hired_grade", "pool_name", f"SUM({num('fte_impact')}) AS fulfil_count")
 
 
 def released(grain: int) -> str:
@@ -204,6 +212,13 @@ FROM {on_spine(4, 'u', 'p', 'd', 'r')}""",
     reports["report_grain5_d15_joined"] = reports["report_grain5_d15"]
     reports["report_weighted"] = query(projected_ctes(5, ("u", "p", "d"), ("0.2", "0.5", "0.8", "0.4")), D15_OUTPUT)
     reports["pdl_rollup"] = query({**projected_ctes(4, ("u", "p")), "report": D8_OUTPUT, "totals": TOTALS}, f"SELECT *, {LOAD_TIME} AS load_date FROM ({ROLLUP})")
+    fresh = {"fulfilment_new": NEW_FULFILMENT}
+    grain4 = {**fresh, **projected_ctes(4, ("u", "p")), "f": fulfilled(4, "fulfilment_new")}
+    grain5 = {**fresh, **projected_ctes(5, ("u", "p", "d")), "f": fulfilled(5, "fulfilment_new")}
+    rolled_up = f"SELECT *, {LOAD_TIME} AS load_date FROM ({ROLLUP})"
+    for stored in ("view", "parts"):
+        reports[f"report_{stored}_refreshed"] = query(grain5, D15_OUTPUT)
+        reports[f"rollup_{stored}_refreshed"] = query({**grain4, "report": D8_OUTPUT, "totals": TOTALS}, rolled_up)
     reports["chart_series"] = query(
         {**projected_ctes(4, ("u", "p")), "report": D8_OUTPUT, "totals": TOTALS, "rollup": ROLLUP},
         "SELECT parent_customer_name AS x, prev_cost_per_bfte AS y FROM rollup "

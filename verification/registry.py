@@ -19,7 +19,7 @@ from rosterline.operators.grain import (
 from rosterline.operators.headers import strip_headers
 from rosterline.operators.history import append_if_absent, recent_distinct
 from rosterline.operators.lookups import audit_duplicates, lookup, lookup_unique, unique_map
-from rosterline.plans import reports
+from rosterline.plans import parts, reports, standing
 from rosterline.plans.consolidate import Layout, consolidate
 from rosterline.plans.facts import (
     ATTRITION, COUNTED_RELEASES, CURRENT, DEMAND, FULFILMENT, PREVIOUS, RELEASES,
@@ -31,7 +31,7 @@ from rosterline.sources.export import export_rows
 from rosterline.sources.ingest import as_text, ingest_batch, ingest_text, read_text, replace_validated, stamp_load_date
 from rosterline.sources.workbooks import to_workbooks, workbook_wide
 from verification.fixtures import raw, report_tables
-from verification.oracles import AS_OF, FILE_NAMES, ILIKE_TEXT, LOADED, NUMBER_TEXTS, SEARCH, TABLE_NAMES
+from verification.oracles import AS_OF, FILE_NAMES, ILIKE_TEXT, LOADED, NEW_FULFILMENT, NUMBER_TEXTS, SEARCH, TABLE_NAMES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,6 +52,37 @@ def _rollup(tables: dict[str, DataFrame]) -> DataFrame:
     return pdl_rollup(reports.report_grain4_d8(tables), LOADED_AT)
 
 
+# Stored tables: standing views, and parts, before and after a new upload of one fact.
+
+
+def _new_fulfilment(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
+    text = NEW_FULFILMENT.replace("FROM fulfilment", "FROM {fulfilment}").replace("FROM attrition", "FROM {attrition}")
+    return spark.sql(text, fulfilment=tables[FULFILMENT.table], attrition=tables[ATTRITION.table])
+
+
+def _standing(view: str) -> Query:
+    def read(spark: SparkSession, sf_dir: str) -> DataFrame:
+        tables, database = report_tables(spark, sf_dir), workspace(spark)
+        for name, df in tables.items():
+            catalog.replace_table(spark, f"{database}.{name}", df)
+        standing.create_report_views(spark, database, at=LOADED_AT)
+        replace_validated(spark, f"{database}.{FULFILMENT.table}", _new_fulfilment(spark, tables), LOADED_AT)
+        return catalog.read_table(spark, f"{database}.{view}")
+
+    return read
+
+
+def _from_parts(build: Callable[[dict[str, DataFrame]], DataFrame]) -> Query:
+    def read(spark: SparkSession, sf_dir: str) -> DataFrame:
+        tables, database = report_tables(spark, sf_dir), workspace(spark)
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        parts.refresh_parts(spark, database, {name: tables[name] for name in parts.FACTS}, buckets)
+        parts.refresh_parts(spark, database, {FULFILMENT.table: _new_fulfilment(spark, tables)}, buckets)
+        return build({**tables, **parts.part_tables(spark, database)})
+
+    return read
+
+
 REPORTS: dict[str, Query] = {
     "report_v1": _on_tables(lambda t: reports.report_v1(t, AS_OF_DATE)),
     "report_v2": _on_tables(reports.report_v2),
@@ -64,6 +95,10 @@ REPORTS: dict[str, Query] = {
     "report_grain5_d15_joined": _on_tables(lambda t: reports.report_grain5_d15(t, form="joined")),
     "report_weighted": _on_tables(lambda t: reports.report_grain5_d15(t, OTHER_WEIGHTS)),
     "pdl_rollup": _on_tables(_rollup),
+    "report_view_refreshed": _standing("dashboard15"),
+    "rollup_view_refreshed": _standing("pdl_summary"),
+    "report_parts_refreshed": _from_parts(reports.report_grain5_d15),
+    "rollup_parts_refreshed": _from_parts(_rollup),
     "chart_series": _on_tables(lambda t: explore.chart_series(_rollup(t), "parent_customer_name", "prev_cost_per_bfte")),
 }
 
