@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from rosterline.functions import any_matches, to_number
 from rosterline.operators.headers import column
-from rosterline.session import fresh_path
+from rosterline.session import fresh_path, remove_path
 
 NO_DATA = "No data found."
 MIN_ROWS = 3
@@ -57,34 +57,89 @@ def run_sql(spark: SparkSession, text: str) -> DataFrame:
     return spark.sql(text)
 
 
+_TASK, _ROW = "__task", "__row"
+PRINTED_CHARACTERS = 4_000_000
+
+
 @dataclass(frozen=True)
 class QueryOutcome:
     """What a free query gave: its rows, and a printed form of the first of them or the error.
 
-    ``note`` says how many of all rows are printed, when that is not all of them.
+    The rows are those of the one run that the status is about, kept in the shared folder: reading them, whole or
+    by page, does not run the query again. ``discard`` removes them. ``total`` is their number. ``note`` says how many
+    of all rows are printed, when that is not all of them.
     """
 
     status: str
     rows: DataFrame | None
     text: str
     note: str = ""
+    total: int = 0
+    placed: DataFrame | None = field(default=None, repr=False)
+    path: str | None = None
+
+    def page(self, start: int, size: int) -> DataFrame:
+        """So many rows from a position on, counted from 0, in the order in which the query gave them.
+
+        Every row is stored with its task and its number there. The counts per task, one small row each, say which
+        rows of which tasks make up the page; only those are read.
+        """
+        if self.placed is None or self.rows is None:
+            raise ValueError("a failed query has no pages")
+        counts = self.placed.groupBy(_TASK).agg(F.count(F.lit(1)).alias("n"))
+        earlier = F.coalesce(F.sum("n").over(Window.orderBy(_TASK).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        touched = counts.select(_TASK, "n", earlier.alias("before")).filter((F.col("before") < start + size) & (F.col("before") + F.col("n") > start))
+        wanted = F.lit(False)
+        for each in touched.collect():  # at most ``size`` of them
+            low, high = start - each["before"], start + size - each["before"]
+            wanted = wanted | ((F.col(_TASK) == each[_TASK]) & (F.col(_ROW) >= low) & (F.col(_ROW) < high))
+        return self.placed.filter(wanted).orderBy(_TASK, _ROW).drop(_TASK, _ROW).toDF(*self.rows.columns)
+
+    def discard(self) -> None:
+        """Remove the stored rows."""
+        if self.path and self.placed is not None:
+            remove_path(self.placed.sparkSession, self.path)
+
+
+def _storable(df: DataFrame) -> DataFrame:
+    """The columns named by position, as names may repeat; those of types that files cannot hold as text."""
+    numbered = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    as_text = {each.name for each in numbered.schema if each.dataType.simpleString() in ("void", "interval")}
+    return numbered.withColumns({name: F.col(name).cast("string") for name in as_text}) if as_text else numbered
 
 
 def query_status(spark: SparkSession, text: str, printed_rows: int = 1000) -> QueryOutcome:
     """Run a query and report ``ok``, ``empty`` or ``error``.
 
-    The status is that of the whole query: every row is computed and counted, and the rows stay in Spark. Only
-    the printed form, of ``printed_rows`` rows at most, reaches the driver; the note says when there are more.
+    The query runs once: its rows are written to the shared folder and counted as they are written, and what is
+    printed is read from there. Only the printed form reaches the driver, of ``printed_rows`` rows and
+    PRINTED_CHARACTERS at most; the note says when there are more.
     """
+    path = fresh_path(spark, "result")
     try:
-        rows = spark.sql(text)
+        df = spark.sql(text)
         counted = Observation()
-        rows.observe(counted, F.count(F.lit(1)).alias("rows")).write.format("noop").mode("overwrite").save()
+        row = F.monotonically_increasing_id()
+        placed = _storable(df).select("*", F.shiftright(row, 33).alias(_TASK), row.bitwiseAND((1 << 33) - 1).alias(_ROW))
+        placed.observe(counted, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+        stored = spark.read.schema(placed.schema).parquet(path)
         total = counted.get["rows"]
-        head = rows.limit(printed_rows).toPandas()
+        outcome = QueryOutcome("ok", stored.drop(_TASK, _ROW).toDF(*df.columns), "", "", total, stored, path)
+        if not total:
+            return replace(outcome, status="empty", text=NO_DATA)
+        head = _printable(outcome.page(0, printed_rows)).toPandas()
     except Exception as error:  # whatever the query raised is the answer
+        remove_path(spark, path)
         return QueryOutcome("error", None, f"Error: {error}")
-    if not total:
-        return QueryOutcome("empty", rows, NO_DATA)
     note = f"{len(head)} of {total} rows" if total > len(head) else ""
-    return QueryOutcome("ok", rows, head.to_string(index=False), note)
+    return replace(outcome, text=head.to_string(index=False), note=note)
+
+
+def _printable(page: DataFrame) -> DataFrame:
+    """The first rows of the page whose text fits; always the first one."""
+    names = page.columns
+    numbered = page.toDF(*[f"c{i}" for i in range(len(names))]).select("*", F.monotonically_increasing_id().alias(_ROW))
+    width = F.length(F.to_json(F.struct(*[f"c{i}" for i in range(len(names))]))) if names else F.lit(0)
+    so_far = F.sum(width).over(Window.orderBy(_ROW))  # over one page
+    kept = numbered.select("*", so_far.alias("__width")).filter((F.col("__width") <= PRINTED_CHARACTERS) | (F.col(_ROW) == 0))
+    return kept.orderBy(_ROW).drop(_ROW, "__width").toDF(*names)

@@ -56,6 +56,19 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return system.exists(place)
 
 
+def data_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(location, bytes) of the files at a path or pattern, or in the folders there, but hidden ones."""
+    system, place = _place(spark, path)
+    out, found = [], list(system.globStatus(place) or [])
+    while found:
+        each = found.pop()
+        if each.isDirectory():
+            found += [inner for inner in system.listStatus(each.getPath()) if inner.getPath().getName()[0] not in "._"]
+        else:
+            out.append((each.getPath().toString(), each.getLen()))
+    return sorted(out)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a file or folder; nothing happens if there is none."""
     system, place = _place(spark, path)

@@ -6,6 +6,7 @@ import datetime as dt
 import re
 import uuid
 from collections import defaultdict
+from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -15,7 +16,9 @@ from pyspark.sql.types import StringType, StructField, StructType
 from rosterline.functions import ist_text, table_name_expr
 from rosterline.operators.contract import ContractError, check_contract
 from rosterline.operators.headers import check_headers, column, number_repeats, quoted, strip_headers
+from rosterline.session import data_files
 from rosterline.sources.catalog import read_table, replace_table
+from rosterline.sources.records import split_records
 from rosterline.sources.workbooks import workbook_table
 
 LOAD_DATE = "load_date"
@@ -47,32 +50,63 @@ def stamp_load_date(df: DataFrame, at: dt.datetime | None = None) -> DataFrame:
     return df.withColumn(LOAD_DATE, stamp)
 
 
-def _read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file as text, its repeated headers numbered; short rows are filled up with NULL.
+CSV = {"multiLine": True, "escape": '"'}
+
+
+def _places(n: int) -> StructType:
+    """Columns by position, and what could not be read so."""
+    return StructType([StructField(f"_{i}", StringType()) for i in range(n)] + [StructField("_bad", StringType())])
+
+
+def _beyond(places: list[str]) -> Column:
+    """Whether a row that does not have one cell per place has a filled cell behind the last of them.
 
-    A row with more filled cells than the header has columns fails the file, so that no cell is lost.
+    Behind its last filled cell comes a mark; if it lies beyond the places, so does that cell.
     """
-    options = {"multiLine": True, "escape": '"'}
-    first = spark.read.options(**options).csv(path, header=False).first()
-    if first is None:
-        raise ValueError(f"{path!r} is empty")
-    names = number_repeats([(name or f"Unnamed: {i}").strip() for i, name in enumerate(first)])
-    places = [f"_{i}" for i in range(len(names))]
-    wide = StructType([StructField(name, StringType()) for name in places])
-    with_bad = StructType([*wide.fields, StructField("_bad", StringType())])
-    read = spark.read.options(**options, columnNameOfCorruptRecord="_bad", enforceSchema=True)
-    rows = read.schema(with_bad).csv(path, header=True)
-    # Behind the last filled cell comes a mark; if it lies beyond the header's columns, so does that cell.
     mark = uuid.uuid4().hex
     marked = F.concat(F.regexp_replace("_bad", r"[,\r\n]+$", ""), F.lit(f",{mark}"))
     cells = [*places, f"_{len(places)}"]
     parsed = F.from_csv(marked, ", ".join(f"`{name}` string" for name in cells), {"escape": '"', "multiLine": "true"})
-    extra = ~F.coalesce(F.array_contains(F.array(*[parsed[name] for name in cells]), mark), F.lit(False))
+    return F.col("_bad").isNotNull() & ~F.coalesce(F.array_contains(F.array(*[parsed[name] for name in cells]), mark), F.lit(False))
+
+
+def _header(cells: Iterable[str | None]) -> list[str]:
+    return number_repeats([(name or f"Unnamed: {i}").strip() for i, name in enumerate(cells)])
+
+
+def _read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV file as text, its repeated headers numbered; short rows are filled up with NULL.
+
+    A row with more filled cells than the header has columns fails the file, so that no cell is lost. Files too
+    large for one task are split (see ``split_records``); the others, and those that cannot be, are a task each.
+    """
+    first = spark.read.options(**CSV).csv(path, header=False).first()
+    if first is None:
+        raise ValueError(f"{path!r} is empty")
+    names = _header(first)
+    places, schema = [f"_{i}" for i in range(len(names))], _places(len(names))
+    options = {**CSV, "columnNameOfCorruptRecord": "_bad"}
+    records = split_records(spark, path) if _largest(spark, path) > _task_bytes(spark) else None
+    if records is None:
+        rows = spark.read.options(**options, enforceSchema=True).schema(schema).csv(path, header=True)
+    else:
+        texts = {name: str(value).lower() if isinstance(value, bool) else value for name, value in options.items()}
+        rows = records.select(F.from_csv("record", schema.simpleString()[7:-1].replace(":", " "), texts).alias("cells")).select("cells.*")
     failed = F.raise_error(F.concat(F.lit("row with more cells than headers: "), F.col("_bad")))
-    checked = F.when(F.col("_bad").isNotNull() & extra, failed.cast("string")).otherwise(F.col(places[0]))
+    checked = F.when(_beyond(places), failed.cast("string")).otherwise(F.col(places[0]))
     return rows.select(checked.alias(places[0]), *places[1:]).toDF(*names)
 
 
+def _largest(spark: SparkSession, path: str) -> int:
+    return max((size for _, size in data_files(spark, path)), default=0)
+
+
+def _task_bytes(spark: SparkSession) -> int:
+    """How much of a file one task reads; the setting is a number with or without a unit."""
+    number, unit = re.fullmatch(r"(\d+)([kmgt]?)b?", spark.conf.get("spark.sql.files.maxPartitionBytes").lower()).groups()
+    return int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
+
+
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """A file as an all-text frame, by its suffix: workbook, CSV, or any typed Spark source."""
     suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
