@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -59,8 +61,12 @@ def number_repeats(names: list[str]) -> list[str]:
 
 def check_headers(df: DataFrame) -> None:
     """Raise when two headers differ only in case, which a table cannot store."""
+    check_names(df.columns)
+
+
+def check_names(names: Iterable[str]) -> None:
     seen: dict[str, str] = {}
-    for name in df.columns:
+    for name in names:
         if name.lower() in seen:
             raise ValueError(f"headers {seen[name.lower()]!r} and {name!r} differ only in case")
         seen[name.lower()] = name

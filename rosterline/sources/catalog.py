@@ -23,6 +23,8 @@ VIEWS = ("pdl", "dashboard")
 
 
 VERSIONS = "{}__versions"
+POINTER = "stored table"  # comment of the views that are tables
+MANY = "_many"  # name of the versions that hold the rows of several tables
 KEEP = dt.timedelta(days=1)
 _VERSION_TIME = "%Y%m%d%H%M%S%f"
 _VERSION_NAME = re.compile(r"^(.+)__v(\d{20})_[0-9a-f]{6}$", re.DOTALL)
@@ -56,14 +58,17 @@ def _versions(spark: SparkSession, database: str) -> dict[str, list[str]]:
     return found
 
 
+def _kind_of(found) -> str:
+    """``table`` for a name that points to a version, ``plain table`` for any other table, or ``view``."""
+    if found.tableType not in ("VIEW", "TEMPORARY"):
+        return "plain table"
+    return "table" if found.description == POINTER and not found.isTemporary else "view"
+
+
 def _relations(spark: SparkSession, database: str | None) -> list[tuple[str, str, bool]]:
-    """(name, kind, whether of the session only) of all tables and views, in two calls of the catalog."""
-    database = database or spark.catalog.currentDatabase()
-    stored = _versions(spark, database)
-    return [
-        (t.name, "view" if t.tableType in ("VIEW", "TEMPORARY") and (t.isTemporary or t.name.lower() not in stored) else "table", t.isTemporary)
-        for t in spark.catalog.listTables(quoted(database))
-    ]
+    """(name, kind, whether of the session only) of all tables and views."""
+    listed = spark.catalog.listTables(quoted(database)) if database else spark.catalog.listTables()
+    return [(t.name, _kind_of(t).removeprefix("plain "), t.isTemporary) for t in listed]
 
 
 def catalog_tables(spark: SparkSession, database: str | None = None) -> dict[str, DataFrame]:
@@ -73,14 +78,7 @@ def catalog_tables(spark: SparkSession, database: str | None = None) -> dict[str
 
 
 def _kind(spark: SparkSession, name: str) -> str | None:
-    """``table`` for a name that points to a version, ``plain table`` for any other table, ``view``, or None."""
-    if not spark.catalog.tableExists(_identifier(name)):
-        return None
-    found = spark.catalog.getTable(_identifier(name))
-    if found.tableType not in ("VIEW", "TEMPORARY"):
-        return "plain table"
-    database, table = _database_and_table(spark, name)
-    return "table" if not found.isTemporary and table.lower() in _versions(spark, database) else "view"
+    return _kind_of(spark.catalog.getTable(_identifier(name))) if spark.catalog.tableExists(_identifier(name)) else None
 
 
 def _versions_database(spark: SparkSession, database: str) -> str:
@@ -104,63 +102,85 @@ def replace_table(
     made is taken over on its first replacement, and only then is there a moment without it.
     """
     check_headers(df)
-    kind = _kind(spark, name)
-    if kind == "view":
+    if _kind(spark, name) == "view":
         raise ValueError(f"{name} is a view, not a table")
     database, table = _database_and_table(spark, name)
-    time = dt.datetime.now(dt.timezone.utc).strftime(_VERSION_TIME)
-    mark = f"__v{time}_{uuid.uuid4().hex[:6]}"
-    version = f"{quoted(_versions_database(spark, database))}.{quoted(table.lower() + mark)}"
-    target = f"{quoted(database)}.{quoted(table)}"
+    version = new_version(spark, database, table)
     if buckets:
         df.repartition(buckets[0], buckets[1]).write.format("parquet").bucketBy(*buckets).sortBy(buckets[1]).saveAsTable(version)
     else:
         df.write.format("parquet").saveAsTable(version)
-    former = f"{quoted(database)}.{quoted(f'{table}__former_{uuid.uuid4().hex[:6]}')}"
     try:
-        if kind == "plain table":
-            spark.sql(f"ALTER TABLE {target} RENAME TO {former}")
-        try:
-            spark.sql(f"CREATE OR REPLACE VIEW {target} AS SELECT * FROM {version}")
-        except Exception:
-            if kind == "plain table":
-                spark.sql(f"ALTER TABLE {former} RENAME TO {target}")
-            raise
+        replaced = point(spark, name, f"SELECT * FROM {version}")
     except Exception:
         spark.sql(f"DROP TABLE IF EXISTS {version}")
         raise
+    if replaced:
+        sweep_versions(spark, database, keep, table)
+    return read_table(spark, name)
+
+
+def new_version(spark: SparkSession, database: str, table: str) -> str:
+    """A name for a version of the table, by the present time."""
+    time = dt.datetime.now(dt.timezone.utc).strftime(_VERSION_TIME)
+    return f"{quoted(_versions_database(spark, database))}.{quoted(f'{table.lower()}__v{time}_{uuid.uuid4().hex[:6]}')}"
+
+
+def point(spark: SparkSession, name: str, select: str) -> bool:
+    """Make the name a table that shows these rows of a version; whether it was such a table before."""
+    kind = _kind(spark, name)
+    if kind == "view":
+        raise ValueError(f"{name} is a view, not a table")
+    database, table = _database_and_table(spark, name)
+    target = f"{quoted(database)}.{quoted(table)}"
+    former = f"{quoted(database)}.{quoted(f'{table}__former_{uuid.uuid4().hex[:6]}')}"
+    if kind == "plain table":
+        spark.sql(f"ALTER TABLE {target} RENAME TO {former}")
+    try:
+        spark.sql(f"CREATE OR REPLACE VIEW {target} COMMENT '{POINTER}' AS {select}")
+    except Exception:
+        if kind == "plain table":
+            spark.sql(f"ALTER TABLE {former} RENAME TO {target}")
+        raise
     if kind == "plain table":
         spark.sql(f"DROP TABLE {former}")
-    elif kind:
-        sweep_versions(spark, database, keep, table)
-    return read_table(spark, target)
+    return kind == "table"
 
 
 def _current_version(spark: SparkSession, database: str, table: str) -> str | None:
     """The version that the name points to."""
-    if not spark.catalog.tableExists(f"{quoted(database)}.{quoted(table)}"):
+    name = f"{quoted(database)}.{quoted(table)}"
+    if _kind(spark, name) != "table":
         return None
-    described = spark.sql(f"DESCRIBE TABLE EXTENDED {quoted(database)}.{quoted(table)}")
-    text = described.filter("col_name = 'View Text'").first()
-    return _name_parts(text["data_type"].rsplit(" FROM ", 1)[-1])[-1] if text else None
+    text = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").filter("col_name = 'View Text'").first()["data_type"]
+    return _name_parts(re.findall(r" FROM ((?:`(?:[^`]|``)+`\.)+`(?:[^`]|``)+`)", text)[-1])[-1]
+
+
+def _made(version: str) -> str:
+    return _VERSION_NAME.match(version)[2]
 
 
 def sweep_versions(spark: SparkSession, database: str, keep: dt.timedelta = KEEP, table: str | None = None) -> list[str]:
     """Remove versions that no name points to, once another took their place longer than ``keep`` ago; returns them.
 
-    Versions whose table is gone, and what an interrupted replacement has left, go as soon as they are that old.
+    Versions whose table is gone, and what an interrupted replacement has left, go as soon as they are that old;
+    those that held several tables when each of these has had a later version for so long. With ``table``, only its own.
     """
     limit = (dt.datetime.now(dt.timezone.utc) - keep).strftime(_VERSION_TIME)
+    groups = _versions(spark, database)
+    if table is not None:
+        groups = {name: versions for name, versions in groups.items() if name == table.lower() and len(versions) > 1}
+    names = [name for name, kind, _ in _relations(spark, database) if kind == "table"] if groups and table is None else list(groups)
+    current = {name.lower(): _current_version(spark, database, name) for name in names}
+    newest = max((_made(version) for version in current.values() if version), default="")
     gone = []
-    for name, versions in _versions(spark, database).items():
-        if table is not None and name != table.lower():
-            continue
-        if len(versions) == 1 and table is not None:
-            continue
-        current = _current_version(spark, database, name)
-        for at, version in enumerate(versions):
-            out_of_use = versions[at + 1] if at + 1 < len(versions) and version < (current or "") else version
-            if version != current and _VERSION_NAME.match(out_of_use)[2] <= limit:
+    for name, versions in groups.items():
+        for version, following in zip(versions, [*versions[1:], None]):
+            if name == MANY:
+                out_of_use = max(newest, _made(version))
+            else:
+                out_of_use = _made(max(version, following or current.get(name) or version, key=_made))
+            if version not in current.values() and out_of_use <= limit:
                 gone.append(version)
     for version in gone:
         spark.sql(f"DROP TABLE IF EXISTS {quoted(VERSIONS.format(database))}.{quoted(version)}")
@@ -239,6 +259,6 @@ def drop_relation(spark: SparkSession, name: str) -> str | None:
     spark.sql(f"DROP {'TABLE' if kind == 'plain table' else 'VIEW'} IF EXISTS {_identifier(name)}")
     if kind == "table":
         database, table = _database_and_table(spark, name)
-        for version in _versions(spark, database)[table.lower()]:
+        for version in _versions(spark, database).get(table.lower(), []):
             spark.sql(f"DROP TABLE IF EXISTS {quoted(VERSIONS.format(database))}.{quoted(version)}")
     return kind.removeprefix("plain ")
