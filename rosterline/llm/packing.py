@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -64,34 +67,101 @@ class Rounds:
             start += size
 
 
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+MOST_PARTS = 600_000  # parts of words remembered by a worker: some 100 MB
+LONGEST_PART = 64
 
-    if path not in _tokenizers:
-        _tokenizers[path] = Tokenizer.from_file(path)
-    return _tokenizers[path]
 
+class WordTokenizer:
+    """Token ids of texts through those of the parts that the tokenizer itself cuts words into.
 
-_tokenizers: dict = {}
+    The described tokenizer drops white space, cuts the rest into letters, digits and others in lower case, and merges
+    within such a part. A text of plain characters, printable ASCII, its white space and the letters of Latin-1, is
+    cut here by the same pattern; of any other text the words with other characters are parts as a whole. Parts are
+    looked up, and new ones encoded by the tokenizer, many at once. Other tokenizers encode whole texts.
+    """
+
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"  # fixed value: the tokenizer's own pattern
+    END_OF_PART = "</w>"  # fixed value: how the tokenizer marks the last token of a part
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.model = Tokenizer.from_file(path)
+        described = json.loads(self.model.to_str())
+        steps = [json.dumps(described.get(name)) for name in ("normalizer", "pre_tokenizer")]
+        self.by_part = (
+            described["post_processor"] is None and described["model"]["type"] == "BPE"
+            and described["model"]["end_of_word_suffix"] == self.END_OF_PART
+            and all(not each["lstrip"] and not each["rstrip"] and each["content"].startswith("<|") for each in described["added_tokens"])
+            and '"type": "Lowercase"' in steps[0] and '"type": "NFC"' in steps[0] and json.dumps(self.SPLIT) in steps[1]
+            and '"behavior": "Removed"' in steps[1] and '"add_prefix_space": false' in steps[1]
+        )
+        letters = "a-zß-öø-ÿ"
+        self.other = re.compile(r"[^ \t\n\r\x0b\x0c!-~À-ÖØ-öø-ÿ]").search
+        self.cut = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[0-9]|[^{letters}0-9 \t\n\r\x0b\x0c]+").findall
+        self.ends = np.zeros(self.model.get_vocab_size(), dtype=bool)
+        for token, number in self.model.get_vocab().items():
+            self.ends[number] = token.endswith(self.END_OF_PART)
+        self.parts: dict[str, bytes] = {}
+
+    def _parts_of(self, text: str) -> list[str]:
+        if "<|" not in text and not self.other(text):
+            return self.cut(text.lower())
+        out = []
+        for word in re.split("[ \t\n\r\x0b\x0c]+", text):
+            out += [word] if "<|" in word or self.other(word) else self.cut(word.lower())
+        return out
+
+    def _learn(self, parts: set[str]) -> dict[str, bytes]:
+        """Plain parts go through the tokenizer as one text, whose tokens say where each part ends; others as texts."""
+        plain = [part for part in parts if "<|" not in part and not self.other(part)]
+        ids = np.array(self.model.encode(" ".join(plain), add_special_tokens=False).ids, dtype=np.int32)
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(plain):
+            raise ValueError("the tokenizer cuts parts further")
+        learnt = {part: ids[a:b].tobytes() for part, a, b in zip(plain, [0, *stops.tolist()], stops.tolist())}
+        rest = [part for part in parts if part not in learnt]
+        learnt |= {part: array("i", each.ids).tobytes() for part, each in zip(rest, self.model.encode_batch_fast(rest, add_special_tokens=False))}
+        self.parts.update((part, ids) for part, ids in learnt.items() if len(part) <= LONGEST_PART)
+        return learnt
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text, as 32-bit numbers."""
+        if not self.by_part:
+            return [array("i", each.ids).tobytes() for each in self.model.encode_batch_fast([text or "" for text in texts], add_special_tokens=False)]
+        if len(self.parts) > MOST_PARTS:
+            self.parts = {}
+        cut = [self._parts_of(text or "") for text in texts]
+        known = self.parts.get
+        found = [list(map(known, parts)) for parts in cut]
+        unknown = [None in ids for ids in found]
+        new = {part for parts, ids, some in zip(cut, found, unknown) if some for part, each in zip(parts, ids) if each is None}
+        if new:
+            learnt = self._learn(new)
+            found = [[each if each is not None else learnt[part] for part, each in zip(parts, ids)] if some else ids for parts, ids, some in zip(cut, found, unknown)]
+        return [b"".join(ids) for ids in found]
+
+
+@lru_cache(maxsize=2)
+def _tokenizer(path: str) -> WordTokenizer:
+    return WordTokenizer(path)
 
 
 def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, source, source_key, key, ids (with the end mark) and n_tokens per document."""
 
     def encode(batches):
-        model = _tokenizer(tokenizer)
+        model, end = _tokenizer(tokenizer), array("i", [END]).tobytes()
         for batch in batches:
             texts = batch.column("text")
-            for at in range(0, batch.num_rows, 64):
-                part = texts.slice(at, 64).to_pylist()
-                ids = [[*each.ids, END] for each in model.encode_batch([text or "" for text in part], add_special_tokens=False)]
-                offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-                flat = np.fromiter((i for each in ids for i in each), dtype=np.int32, count=int(offsets[-1]))
-                rest = [batch.column(name).slice(at, 64) for name in ("doc_id", "source", "source_key", "key")]
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+            for at in range(0, batch.num_rows, 256):
+                ids = [each + end for each in model.encode(texts.slice(at, 256).to_pylist())]
+                lengths = np.array([len(each) // 4 for each in ids], dtype=np.int64)
+                offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+                rest = [batch.column(name).slice(at, 256) for name in ("doc_id", "source", "source_key", "key")]
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), dtype=np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [*rest, lists, pa.array(np.diff(offsets).astype(np.int64))],
-                    names=["doc_id", "source", "source_key", "key", "ids", "n_tokens"],
+                    [*rest, lists, pa.array(lengths)], names=["doc_id", "source", "source_key", "key", "ids", "n_tokens"],
                 )
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
