@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,20 @@ from rosterline.session import fresh_path
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_recorded: ContextVar[list[str] | None] = ContextVar("recorded", default=None)
+
+
+@contextmanager
+def recording():
+    """The folders that are staged in this block, in a list."""
+    paths: list[str] = []
+    token = _recorded.set(paths)
+    try:
+        yield paths
+    finally:
+        _recorded.reset(token)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -29,6 +45,8 @@ def staged_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """``staged`` and its folder, for ``remove_path`` once nothing reads it any more."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
+    if (seen := _recorded.get()) is not None:
+        seen.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

@@ -77,9 +77,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
 
 @column_function("string")
 def first_words(texts: pd.Series, counts: pd.Series) -> pd.Series:
-    """Each text up to the end of the given number of words."""
+    """Each text up to the end of the given number of words; null stays null."""
     out = []
     for text, count in zip(texts, counts):
+        if text is None:
+            out.append(None)
+            continue
         ends = (found.end() for found in re.finditer(WORD, text or ""))
         out.append(text[: next(islice(ends, int(count) - 1, None), 0)] if count > 0 else "")
     return pd.Series(out, dtype=object)
@@ -94,9 +97,9 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     whole = F.when(F.col("rest") == F.col("size"), F.col("copies") + 1).otherwise(F.col("copies"))
     times = F.sequence(F.lit(1), whole + F.when((F.col("rest") > 0) & (F.col("rest") < F.col("size")), 1).otherwise(0))
     rows = taken.withColumn("whole", whole).withColumn("copy", F.explode(times))
-    # Only the one document at a source's cut is ever shortened.
-    starts = first_words(F.col("row.text"), F.col("rest"))
-    text = F.when(F.col("copy") <= F.col("whole"), F.col("row.text")).otherwise(starts)
+    # Only the one document at a source's cut is ever shortened; Python gets no other text.
+    is_whole = F.col("copy") <= F.col("whole")
+    text = F.when(is_whole, F.col("row.text")).otherwise(first_words(F.when(~is_whole, F.col("row.text")), F.col("rest")))
     rows = rows.withColumn("_text", text)
     out = []
     for name in docs.columns:

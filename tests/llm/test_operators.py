@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from rosterline.session import path_exists
 from rosterline.llm import common, kd_shards, licenses, mixing, packing, preference, quality_rules, queries, simhash, templates, top_k, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, `row` string, size int, key string, score int"
@@ -430,3 +431,75 @@ def test_pipeline_stages(spark, docs, none):
         kept = out
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, sf).count() == 0
+
+
+def test_pipeline_run_against_plain_python(spark, tmp_path):
+    """All five stages on a fixture; each is judged on what the one before it really kept."""
+    rows = [(i, f"{text} " + " ".join(f"w{i}x{j}" for j in range(25)) if i is None or i % 7 else text, lang, source, n) for i, text, lang, source, n, *_ in rows_of() if text is not None]
+    ids = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, ids).repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, i % 2, int(i % 9 == 0)) for i in range(100)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    before = docs
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, before, str(tmp_path))
+        out.write.parquet(f"{tmp_path}/{name}")
+        seen[name] = before = spark.read.parquet(f"{tmp_path}/{name}")
+    taken = lambda df: Counter(tuple(row) for row in df.collect())
+    scores = toxicity.toxicity_scores(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"), keep_row=True)
+    assert taken(seen["toxicity"]) == taken(scores.filter("predicted = 0").select("row.*"))
+
+    # Near-duplicates: union-find over all pairs of what the rules kept.
+    kept = [tuple(row) for row in seen["quality rules"].collect()]
+    prints = [simhash.fingerprint(row[1]) & (2**64 - 1) for row in kept]
+    root = list(range(len(kept)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a, b in itertools.combinations(range(len(kept)), 2):
+        if (prints[a] ^ prints[b]).bit_count() <= 3:
+            root[find(a)] = find(b)
+    groups = defaultdict(list)
+    for at, row in enumerate(kept):
+        groups[find(at)].append((row[0] is None, row[0] or 0, row))
+    left = seen["simhash near-dedup"].collect()
+    assert sorted((row["doc_id"] is None, row["doc_id"] or 0) for row in left) == sorted(min(each)[:2] for each in groups.values())
+
+    # The mix: per source whole epochs and one cut document, as the operator says.
+    plan = {row["doc_id"]: row for row in mixing.mix(seen["simhash near-dedup"]).collect()}
+    words = Counter()
+    for row in seen["mixing sources"].collect():
+        words[row["doc_id"]] += len(re.findall(common.WORD, row["text"]))
+    assert dict(words) == {i: row["taken"] for i, row in plan.items() if row["taken"]}
+
+    # Packing: all ids of every text, cut freely, in gapless sequences.
+    whole = packing._tokenizer(queries.word_bpe()).model
+    ids = Counter()
+    for row in seen["mixing sources"].collect():
+        ids[row["doc_id"]] += len(whole.encode(row["text"], add_special_tokens=False).ids) + 1
+    pieces, places = Counter(), defaultdict(list)
+    for row in seen["packing"].collect():
+        pieces[row["doc_id"]] += row["length"]
+        places[row["sequence_id"]].append((row["offset"], row["length"]))
+    assert pieces == ids
+    for sequence in places.values():
+        at = 0
+        for offset, length in sorted(sequence):
+            assert offset == at
+            at += length
+        assert at <= packing.WINDOW
+    assert taken(corpus_pipeline.run(spark, str(tmp_path))) == taken(seen["packing"])
+
+
+def test_pipeline_keeps_one_stages_intermediate_tables(spark, docs):
+    first = common.staged(corpus_pipeline.keep_quality(spark, docs, "/root/testdata/sf0.001"), "result")
+    paths = list(corpus_pipeline._left[next(iter(corpus_pipeline._left))])
+    assert paths and all(path_exists(spark, path) for path in paths)
+    lazy = corpus_pipeline.drop_near_duplicates(spark, first, "/root/testdata/sf0.001")
+    assert not any(path_exists(spark, path) for path in paths)
+    mixed = corpus_pipeline.mix_sources(spark, lazy, "/root/testdata/sf0.001")  # reads what the stage before staged
+    assert mixed.count() > 0
