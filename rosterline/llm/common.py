@@ -27,6 +27,8 @@ def recording():
         yield paths
     finally:
         _recorded.reset(token)
+        if (around := _recorded.get()) is not None:
+            around.extend(paths)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

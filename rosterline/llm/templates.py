@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterline.llm.common import column_function, staged
+from rosterline.llm.common import column_function, recording, staged
+from rosterline.session import remove_path
 
 # Element names by their part in a page.
 REGIONS = frozenset("html body header nav main article section aside footer form div dialog menu figure table fieldset".split())
@@ -27,6 +28,7 @@ ASIDE_NAMES = re.compile(
 NUMBERS = re.compile(r"\d+")
 LEAST_PAGES = 3  # of a host that a token must be on to tell template from text
 NEAR = 4  # amounts of text that differ by no more than this factor count as a tie
+MOST_BROADCAST = 16 << 20  # bytes of places sent to all tasks; more are joined by exchange
 SALTS = 16  # parts into which the rows of a hot host's token are dealt
 
 
@@ -260,20 +262,8 @@ def chosen_places(pages: pd.Series) -> pd.Series:
     return pd.Series([sorted(int(at) for at in chosen(list(units))) for units in pages], dtype=object)
 
 
-def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url and the main text of every page, blocks joined by one space.
-
-    Blocks that are no template text (see ``template_texts``) fill slots; a slot is a region path, with all
-    that lies in it if its name says article or aside. Over the host, the slots' mean amounts of text say which slot of a page is the main
-    one; names only break ties, that is, decide between amounts within a factor ``NEAR``, between slots on hosts
-    of under ``LEAST_PAGES`` pages, and where a page has no slot left. Beside a main slot in an article only
-    articles are kept, beside another all that is not aside by its name. Inside an article or main region a
-    repeated text is content, as mirrored pages share it. Null and empty pages give an empty text. A null url is
-    a host of its own; repeated rows give equal rows; other columns are not looked at.
-    """
-    host = F.coalesce(F.lower(F.regexp_extract(F.col("url"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
-    parsed = pages.select("page_id", "url", F.xxhash64(host).alias("host_key"), tokens_of(F.col("html")).alias("tokens"))
-    parsed = staged(parsed.withColumn("rid", F.monotonically_increasing_id()), "tokens")
+def slots_and_amounts(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per page and slot its blocks and how much text they have, and the means of these over each host."""
     each = parsed.select("host_key", "rid", F.posexplode("tokens").alias("at", "b"))
     tokens = staged(each.select(
         "host_key", "rid", "at", F.xxhash64("b.path", "b.text").alias("tok"), F.xxhash64("b.path").alias("own"),
@@ -290,10 +280,34 @@ def main_text(pages: DataFrame) -> DataFrame:
     amounts = units.groupBy("host_key", "unit", "named").agg(F.avg("slot_chars").alias("amount"), F.avg("chars").alias("whole"))
     hosts = parsed.groupBy("host_key").agg(F.count("*").alias("pages"))
     amounts = staged(amounts.join(hosts, "host_key"), "amounts")
+    return units, amounts
+
+
+def main_text(pages: DataFrame) -> DataFrame:
+    """page_id, url and the main text of every page, blocks joined by one space.
+
+    Blocks that are no template text (see ``template_texts``) fill slots; a slot is a region path, with all
+    that lies in it if its name says article or aside. Over the host, the slots' mean amounts of text say which slot of a page is the main
+    one; names only break ties, that is, decide between amounts within a factor ``NEAR``, between slots on hosts
+    of under ``LEAST_PAGES`` pages, and where a page has no slot left. Beside a main slot in an article only
+    articles are kept, beside another all that is not aside by its name. Inside an article or main region a
+    repeated text is content, as mirrored pages share it. Null and empty pages give an empty text. A null url is
+    a host of its own; repeated rows give equal rows; other columns are not looked at.
+    """
+    host = F.coalesce(F.lower(F.regexp_extract(F.col("url"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
+    parsed = pages.select("page_id", "url", F.xxhash64(host).alias("host_key"), tokens_of(F.col("html")).alias("tokens"))
+    parsed = staged(parsed.withColumn("rid", F.monotonically_increasing_id()), "tokens")
+    with recording() as needed_until_here:
+        units, amounts = slots_and_amounts(parsed)
     units = join_salted(units, amounts, ["host_key", "unit", "named"])
     on_page = F.array_sort(F.collect_list(F.struct("unit", "named", "amount", "whole", "pages", "slots", "blocks")))
     kept = units.groupBy("rid").agg(on_page.alias("units")).select("rid", chosen_places(F.col("units")).alias("kept"))
-    joined = parsed.select("page_id", "url", "rid", F.col("tokens.text").alias("texts")).join(kept, "rid", "left")
-    blocks = F.filter("texts", lambda _, i: F.array_contains("kept", i))
-    text = F.coalesce(F.array_join(blocks, " "), F.lit(""))
+    kept = staged(kept, "kept")
+    for path in needed_until_here:
+        remove_path(pages.sparkSession, path)
+    total = kept.agg(F.sum(16 + 4 * F.size("kept")).alias("bytes")).first()["bytes"] or 0
+    # The places are small beside the texts: while they are few in all, the texts stay where they lie.
+    places = F.broadcast(kept) if total <= MOST_BROADCAST else kept
+    joined = parsed.select("page_id", "url", "rid", F.col("tokens.text").alias("texts")).join(places, "rid", "left")
+    text = F.coalesce(F.array_join(F.transform("kept", lambda i: F.get("texts", i)), " "), F.lit(""))
     return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
