@@ -39,7 +39,7 @@ def _identifier(name: str) -> str:
     return ".".join(quoted(part) for part in _name_parts(name))
 
 
-def _database_and_table(spark: SparkSession, name: str) -> tuple[str, str]:
+def database_and_table(spark: SparkSession, name: str) -> tuple[str, str]:
     *database, table = _name_parts(name)
     return database[-1] if database else spark.catalog.currentDatabase(), table
 
@@ -77,7 +77,7 @@ def catalog_tables(spark: SparkSession, database: str | None = None) -> dict[str
     return {name: read_table(spark, prefix + quoted(name)) for name, kind, _ in _relations(spark, database) if kind == "table"}
 
 
-def _kind(spark: SparkSession, name: str) -> str | None:
+def relation_kind(spark: SparkSession, name: str) -> str | None:
     return _kind_of(spark.catalog.getTable(_identifier(name))) if spark.catalog.tableExists(_identifier(name)) else None
 
 
@@ -102,9 +102,9 @@ def replace_table(
     made is taken over on its first replacement, and only then is there a moment without it.
     """
     check_headers(df)
-    if _kind(spark, name) == "view":
+    if relation_kind(spark, name) == "view":
         raise ValueError(f"{name} is a view, not a table")
-    database, table = _database_and_table(spark, name)
+    database, table = database_and_table(spark, name)
     version = new_version(spark, database, table)
     if buckets:
         df.repartition(buckets[0], buckets[1]).write.format("parquet").bucketBy(*buckets).sortBy(buckets[1]).saveAsTable(version)
@@ -128,10 +128,10 @@ def new_version(spark: SparkSession, database: str, table: str) -> str:
 
 def point(spark: SparkSession, name: str, select: str) -> bool:
     """Make the name a table that shows these rows of a version; whether it was such a table before."""
-    kind = _kind(spark, name)
+    kind = relation_kind(spark, name)
     if kind == "view":
         raise ValueError(f"{name} is a view, not a table")
-    database, table = _database_and_table(spark, name)
+    database, table = database_and_table(spark, name)
     target = f"{quoted(database)}.{quoted(table)}"
     former = f"{quoted(database)}.{quoted(f'{table}__former_{uuid.uuid4().hex[:6]}')}"
     if kind == "plain table":
@@ -147,13 +147,27 @@ def point(spark: SparkSession, name: str, select: str) -> bool:
     return kind == "table"
 
 
-def _current_version(spark: SparkSession, database: str, table: str) -> str | None:
-    """The version that the name points to."""
+def current_versions(spark: SparkSession, database: str, table: str) -> list[str]:
+    """The versions that the name points to, in their order; none if it is no such table."""
     name = f"{quoted(database)}.{quoted(table)}"
-    if _kind(spark, name) != "table":
-        return None
+    if relation_kind(spark, name) != "table":
+        return []
+    text = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").filter("col_name = 'View Text'").first()["data_type"]
+    return [_name_parts(each)[-1] for each in re.findall(r" FROM ((?:`(?:[^`]|``)+`\.)+`(?:[^`]|``)+`)", text)]
+
+
+def shows_whole_versions(spark: SparkSession, database: str, table: str) -> bool:
+    """Whether the name is a table whose rows and columns are those of its versions."""
+    name = f"{quoted(database)}.{quoted(table)}"
+    if relation_kind(spark, name) != "table":
+        return False
     text = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").filter("col_name = 'View Text'").first()["data_type"]
-    return _name_parts(re.findall(r" FROM ((?:`(?:[^`]|``)+`\.)+`(?:[^`]|``)+`)", text)[-1])[-1]
+    return all(re.fullmatch(r"SELECT \* FROM (`(?:[^`]|``)+`\.)+`(?:[^`]|``)+`", each) for each in text.split("\nUNION ALL "))
+
+
+def index_of(version: str) -> str:
+    """The name of the search index of a version."""
+    return f"{version}__trigrams"
 
 
 def _made(version: str) -> str:
@@ -171,22 +185,28 @@ def sweep_versions(spark: SparkSession, database: str, keep: dt.timedelta = KEEP
     if table is not None:
         groups = {name: versions for name, versions in groups.items() if name == table.lower() and len(versions) > 1}
     names = [name for name, kind, _ in _relations(spark, database) if kind == "table"] if groups and table is None else list(groups)
-    current = {name.lower(): _current_version(spark, database, name) for name in names}
-    newest = max((_made(version) for version in current.values() if version), default="")
+    current = {name.lower(): current_versions(spark, database, name) for name in names}
+    in_use = {version for versions in current.values() for version in versions}
+    newest = max(map(_made, in_use), default="")
     gone = []
     for name, versions in groups.items():
         for version, following in zip(versions, [*versions[1:], None]):
             if name == MANY:
                 out_of_use = max(newest, _made(version))
             else:
-                out_of_use = _made(max(version, following or current.get(name) or version, key=_made))
-            if version not in current.values() and out_of_use <= limit:
+                out_of_use = _made(max([version, following] if following else [version, *current.get(name, [])], key=_made))
+            if version not in in_use and out_of_use <= limit:
                 gone.append(version)
     for version in gone:
-        spark.sql(f"DROP TABLE IF EXISTS {quoted(VERSIONS.format(database))}.{quoted(version)}")
+        _drop_version(spark, database, version)
     return gone
 
 
+def _drop_version(spark: SparkSession, database: str, version: str) -> None:
+    for each in (version, index_of(version)):
+        spark.sql(f"DROP TABLE IF EXISTS {quoted(VERSIONS.format(database))}.{quoted(each)}")
+
+
 def replace_view(spark: SparkSession, name: str, body: DataFrame | str) -> DataFrame:
     """Create or replace a view: a lasting one over SQL text, one for this session over a DataFrame.
 
@@ -194,7 +214,7 @@ def replace_view(spark: SparkSession, name: str, body: DataFrame | str) -> DataF
     text of the reports.
     """
     if isinstance(body, str):
-        if (_kind(spark, name) or "view") != "view":
+        if (relation_kind(spark, name) or "view") != "view":
             raise ValueError(f"{name} is a table, not a view")
         spark.sql(f"CREATE OR REPLACE VIEW {_identifier(name)} AS {body}")
     else:
@@ -253,12 +273,12 @@ def schema_text(spark: SparkSession, names: list[str]) -> str:
 
 def drop_relation(spark: SparkSession, name: str) -> str | None:
     """Drop a view or a table, whichever the name is, with all its versions; returns its kind, or None if there is neither."""
-    kind = _kind(spark, name)
+    kind = relation_kind(spark, name)
     if kind is None:
         return None
     spark.sql(f"DROP {'TABLE' if kind == 'plain table' else 'VIEW'} IF EXISTS {_identifier(name)}")
     if kind == "table":
-        database, table = _database_and_table(spark, name)
+        database, table = database_and_table(spark, name)
         for version in _versions(spark, database).get(table.lower(), []):
-            spark.sql(f"DROP TABLE IF EXISTS {quoted(VERSIONS.format(database))}.{quoted(version)}")
+            _drop_version(spark, database, version)
     return kind.removeprefix("plain ")

@@ -469,6 +469,8 @@ WHERE regexp_matches(CONCAT_WS(chr(10), c_custkey, c_name, c_nationkey, c_acctba
         "ilike_filter": f"SELECT doc_id, lang, source FROM documents WHERE text ILIKE '%{ILIKE_TEXT}%'",
         "search_any": f"SELECT * FROM documents WHERE {hit}",
         "search_counts": f"SELECT COUNT(*) FILTER (WHERE {hit}) AS shown, COUNT(*) AS total FROM documents",
+        "search_stored": f"SELECT * FROM documents WHERE {hit}",
+        "append_to_history": f"SELECT DISTINCT text FROM {users} WHERE text IS NOT NULL UNION ALL SELECT text FROM {users} WHERE text IS NULL",
         "append_if_absent": f"""WITH asked AS (SELECT text FROM {users} WHERE turn = 0)
 SELECT text FROM asked UNION ALL
 SELECT DISTINCT text FROM {users} WHERE text IS NOT NULL AND text NOT IN (SELECT text FROM asked WHERE text IS NOT NULL)""",

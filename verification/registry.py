@@ -26,9 +26,10 @@ from rosterline.plans.facts import (
 )
 from rosterline.plans.rollup import pdl_rollup
 from rosterline.session import fresh_path, workspace
-from rosterline.sources import catalog
+from rosterline.sources import catalog, search_index
 from rosterline.sources.export import export_rows
 from rosterline.sources.ingest import as_text, ingest_batch, ingest_text, read_text, replace_validated, stamp_load_date
+from rosterline.sources.log import append_to_history
 from rosterline.sources.workbooks import to_workbooks, workbook_wide
 from verification.fixtures import raw, report_tables
 from verification.oracles import AS_OF, FILE_NAMES, ILIKE_TEXT, LOADED, NEW_FULFILMENT, NUMBER_TEXTS, SEARCH, TABLE_NAMES
@@ -372,6 +373,21 @@ def _append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return append_if_absent(users.filter("turn = 0").select("text"), users.select("text"), "text")
 
 
+def _append_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three uploads to one stored history."""
+    name, users = f"{workspace(spark)}.questions", _users(spark, sf_dir)
+    for rows in (users.filter("turn = 0"), users.filter("turn > 0 and conv_id % 2 = 0"), users.filter("turn > 0")):
+        append_to_history(spark, name, rows.select("text"), "text", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return catalog.read_table(spark, name)
+
+
+def _search_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = f"{workspace(spark)}.documents"
+    catalog.replace_table(spark, name, raw(spark, sf_dir, "documents").repartitionByRange(32, "lang", "source"))
+    search_index.build_search_index(spark, name)
+    return search_index.search_stored(spark, name, SEARCH)
+
+
 def _recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recent_distinct(_users(spark, sf_dir), "text", F.col("conv_id") * 1000 + F.col("turn"))
 
@@ -411,7 +427,9 @@ EXPLORE: dict[str, Query] = {
     .select("doc_id", "lang", "source"),
     "search_any": lambda spark, sf_dir: explore.search_any(raw(spark, sf_dir, "documents"), SEARCH),
     "search_counts": lambda spark, sf_dir: explore.match_counts(raw(spark, sf_dir, "documents"), SEARCH),
+    "search_stored": _search_stored,
     "append_if_absent": _append,
+    "append_to_history": _append_stored,
     "recent_distinct": _recent,
     "preview_rows": _preview,
     "try_cast_double": lambda spark, sf_dir: _on_part(NUMBER_TEXTS, spark, sf_dir, "lineitem").withColumn(
