@@ -15,12 +15,13 @@ WINDOW = 8
 SYMBOLS = frozenset("#*$%&|<>")
 MEASURES = "struct<n_words:long,word_chars:long,n_symbols:long,n_dup_lines:long,n_repeat_words:long>"
 
-# Per rule: the value as a whole number, the least spread that counts, and whether a low value fails too.
+# Per rule: the value as a whole number, how many spreads beyond the quartiles it may lie, what is counted in it and
+# how many of these one event makes up, and whether a low value fails too.
 RULES = {
-    "word_length": ("1000 * m.word_chars div greatest(m.n_words, 1L)", 600, True),
-    "symbols": ("1000 * m.n_symbols div greatest(m.word_chars, 1L)", 10, False),
-    "dup_lines": ("1000 * m.n_dup_lines div greatest(m.n_words, 1L)", 10, False),
-    "repeats": ("1000 * m.n_repeat_words div greatest(m.n_words, 1L)", 40, False),
+    "word_length": ("1000 * m.word_chars div greatest(m.n_words, 1L)", 8, None, True),
+    "symbols": ("1000 * m.n_symbols div greatest(m.word_chars, 1L)", 3, ("word_chars", 5), False),
+    "dup_lines": ("1000 * m.n_dup_lines div greatest(m.n_words, 1L)", 3, ("n_words", 3), False),
+    "repeats": ("1000 * m.n_repeat_words div greatest(m.n_words, 1L)", 3, ("n_words", 2 * WINDOW), False),
 }
 
 
@@ -53,29 +54,39 @@ def measures(texts: pd.Series) -> pd.DataFrame:
 def thresholds(measured: DataFrame) -> DataFrame:
     """Per language and source (as ``lang_key``, ``source_key``) the lowest and highest value that passes each rule.
 
-    A sketch is a count per bin (see ``common.coarse``): sketches merge by adding counts, whatever the order,
-    so reruns agree. Limits lie three spreads (between the quartiles) beyond the quartiles. Every group has its
-    own, however few its rows: a group of one or a few is held by the least spread of each rule.
+    A sketch is a count per bin (see ``common.coarse``): sketches merge by adding counts, whatever the order, so
+    reruns agree. Limits lie some spreads beyond the quartiles of the group's own sketch, however few its rows. Its
+    spread is the distance of the quartiles, a bin's width at least, and wider the fewer rows they are known from. Of
+    what most texts have none, it is at least what one event makes up in a text of the group's median size: a
+    share that chance alone brings about. So every limit comes from the group, and no other changes it.
     """
-    values = F.array(*[F.struct(F.lit(name).alias("rule"), F.expr(sql).alias("value")) for name, (sql, *_) in RULES.items()])
+    sized = {size[0]: f"m.{size[0]}" for _, _, size, _ in RULES.values() if size}
+    read = {**{name: sql for name, (sql, *_) in RULES.items()}, **sized}
+    values = F.array(*[F.struct(F.lit(name).alias("rule"), F.expr(sql).alias("value")) for name, sql in read.items()])
     bins = (
         measured.filter("not base_failed").select("lang_key", "source_key", F.explode(values).alias("v"))
         .select("lang_key", "source_key", "v.rule", F.expr(coarse("v.value")).alias("bin"))
         .groupBy("lang_key", "source_key", "rule", "bin").agg(F.count("*").alias("rows"))
     )
-    up_to = Window.partitionBy("lang_key", "source_key", "rule").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("lang_key", "source_key", "rule")
-    ranked = bins.withColumn("upto", F.sum("rows").over(up_to)).withColumn("total", F.sum("rows").over(whole))
-    limits = ranked.groupBy("lang_key", "source_key", "rule").agg(
-        F.min(F.when(F.expr("4 * upto >= total"), F.col("bin"))).alias("low"),
-        F.min(F.when(F.expr("4 * upto >= 3 * total"), F.col("bin"))).alias("high"),
-    )
+    group = Window.partitionBy("lang_key", "source_key", "rule")
+    ranked = bins.withColumn("upto", F.sum("rows").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
+    ranked = ranked.withColumn("total", F.sum("rows").over(group))
+    quartiles = ranked.groupBy("lang_key", "source_key", "rule").agg(F.max("total").alias("total"), *[
+        F.min(F.when(F.expr(f"4 * upto >= {part} * total"), F.col("bin"))).alias(name) for part, name in ((1, "low"), (2, "middle"), (3, "high"))
+    ])
+    found = quartiles.groupBy("lang_key", "source_key").agg(*[
+        F.max(F.when(F.col("rule") == name, F.struct("low", "middle", "high", "total"))).alias(name) for name in read
+    ])
     columns = []
-    for name, (_, spread, _) in RULES.items():
-        reach = 3 * F.greatest(F.col("high") - F.col("low"), F.lit(spread))
-        columns.append(F.max(F.when(F.col("rule") == name, F.col("high") + reach)).alias(f"{name}_most"))
-        columns.append(F.max(F.when(F.col("rule") == name, F.col("low") - reach)).alias(f"{name}_least"))
-    return limits.groupBy("lang_key", "source_key").agg(*columns)
+    for name, (_, reach, size, _) in RULES.items():
+        of = F.col(name)
+        width = F.expr(f"shiftleft(1L, greatest(0, length(bin({name}.high)) - 7))")
+        spread = F.greatest(of["high"] - of["low"], width) * (1 + 2 / F.sqrt(of["total"]))
+        if size:
+            spread = F.greatest(spread, F.lit(1000 * size[1]) / F.greatest(F.col(size[0])["middle"], F.lit(1)))
+        columns.append((of["high"] + F.floor(reach * spread)).alias(f"{name}_most"))
+        columns.append((of["low"] - F.floor(reach * spread)).alias(f"{name}_least"))
+    return found.select("lang_key", "source_key", *columns)
 
 
 def quality_rules(docs: DataFrame, keep_row: bool = False) -> DataFrame:
@@ -92,7 +103,7 @@ def quality_rules(docs: DataFrame, keep_row: bool = False) -> DataFrame:
     measured = staged(measured, "measures")
     limits = staged(thresholds(measured), "limits")
     passes = F.lit(True)
-    for name, (sql, _, low_too) in RULES.items():
+    for name, (sql, *_, low_too) in RULES.items():
         passes = passes & (F.expr(sql) <= F.col(f"{name}_most"))
         if low_too:
             passes = passes & (F.expr(sql) >= F.col(f"{name}_least"))
