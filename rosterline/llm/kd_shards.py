@@ -23,8 +23,10 @@ def text_bytes(text: str = "text") -> Column:
 def metadata() -> dict[str, Column]:
     """The dimensions: what is known of a document besides its text."""
     spread = lambda name: F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")).cast("double")
-    return {"size": F.log(text_bytes()), "source": spread("source"), "lang": spread("lang"),
-            "id": F.coalesce(F.col("doc_id").cast("double"), F.lit(0.0))}
+    number = F.col("doc_id").try_cast("double")  # of an id that is no finite number, a hash
+    is_number = number.isNotNull() & ~F.isnan(number) & (F.abs(number) < float("inf"))
+    place = F.when(F.col("doc_id").isNull(), 0.0).when(is_number, number).otherwise(spread("doc_id"))
+    return {"size": F.log(text_bytes()), "source": spread("source"), "lang": spread("lang"), "id": place}
 
 
 def kd_shards(docs: DataFrame, target_bytes: float | None = None, shards: int | None = None,

@@ -17,7 +17,7 @@ from rosterline.llm.common import bucket_bits, group_key, hash_key, prefix_sums,
 
 WINDOW = 2048
 END = 1
-PIECES = "doc_id {id}, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
 class Rounds:
@@ -200,7 +200,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
                 last[number] = (before, first)
                 for start, length, sequence, offset in rounds.pieces(number, before, len(ids), first):
                     crc = zlib.crc32(ids[start : start + length].tobytes())
-                    out.append((doc_id, source, start, length, crc, len(ids), sequence, offset))
+                    out.append((doc_id, start, length, crc, len(ids), sequence, offset, source))
             if out:
                 yield pa.RecordBatch.from_pydict(
                     {name: list(values) for name, values in zip(names, zip(*out))}, schema=schema

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterline.llm.common import staged
-from rosterline.llm.preference import held_out, training_rows
+from rosterline.llm.preference import bounded, held_out, training_rows
 
 BITS = 22  # n-grams are counted in 2**BITS slots
 SIZES = (3, 4, 5, 6)
@@ -119,7 +119,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", pa
     spaces and get the score of the constant. Repeated rows are scored alike. Without two labels every score
     is 0. Other columns are never read.
     """
-    sample = staged(training_rows(docs, labels, label, parts, part, most), "toxicity-sample")
+    sample = staged(bounded(training_rows(docs, labels, label, parts, part, most), most, "text"), "toxicity-sample")
     sizes = {row["y"]: row["count"] for row in sample.groupBy("y").count().collect()}
     model = None
     if len(sizes) == 2:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
 import re
 import zlib
@@ -503,3 +504,68 @@ def test_pipeline_keeps_one_stages_intermediate_tables(spark, docs):
     assert not any(path_exists(spark, path) for path in paths)
     mixed = corpus_pipeline.mix_sources(spark, lazy, "/root/testdata/sf0.001")  # reads what the stage before staged
     assert mixed.count() > 0
+
+
+def test_samples_are_bounded_when_an_id_repeats(spark):
+    rows = [(1, f"text {i % 7} of one id", "en", "s") for i in range(5000)] + [(i, f"words of document {i}", "en", "s") for i in range(2, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)] + [(1, 0)], "doc_id long, quality int")
+    sample = preference.training_rows(docs, labels, "quality", 4, 2, 60)
+    kept = preference.bounded(sample, 10, "text").collect()
+    assert Counter(row["y"] for row in kept) == {0: 10, 1: 10}
+    assert sorted(map(tuple, kept)) == sorted(map(tuple, preference.bounded(sample.repartition(5), 10, "text").collect()))
+
+
+def test_shards_of_text_ids(spark):
+    names = ["abc", "7", "nan", "1e400", "", None, "id-3", "2.5"] * 40
+    docs = spark.createDataFrame([(name, f"text {i}", "en", "s") for i, name in enumerate(names)], "doc_id string, text string, lang string, source string")
+    out = kd_shards.kd_shards(docs, shards=4).collect()
+    sizes = Counter()
+    for row in out:
+        sizes[row["shard"]] += row["size"]
+    assert len(out) == len(names) and set(sizes) == {0, 1, 2, 3} and max(sizes.values()) - min(sizes.values()) <= 20
+
+
+def test_quality_limits_against_plain_python(spark, docs):
+    rules = {
+        "word_length": (lambda m: 1000 * m[1] // max(m[0], 1), 8, None, True), "symbols": (lambda m: 1000 * m[2] // max(m[1], 1), 3, (1, 5), False),
+        "dup_lines": (lambda m: 1000 * m[3] // max(m[0], 1), 3, (0, 3), False), "repeats": (lambda m: 1000 * m[4] // max(m[0], 1), 3, (0, 16), False),
+    }
+    coarse = lambda v: v >> max(0, v.bit_length() - 7) << max(0, v.bit_length() - 7)
+
+    def quartiles(values):
+        ordered = sorted(map(coarse, values))
+        return [ordered[-(-part * len(ordered) // 4) - 1] for part in (1, 2, 3)]
+
+    rows = rows_of() + [(3000 + i, text, lang, source, 0, "r", 0, "k", 0) for i, (_, text, lang, source, *_) in enumerate(rows_of(seed=9, n=200))]
+    measured = [(r[0], r[2], r[3], quality_rules.measure_text(r[1])) for r in rows]
+    passing = [m for m in measured if not (m[3][0] < 20 or 100 * m[3][4] > 30 * m[3][0])]
+    groups = defaultdict(list)
+    for _, lang, source, m in passing:
+        groups[lang, source].append(m)
+
+    def kept(lang, source, m):
+        if m[0] < 20 or 100 * m[4] > 30 * m[0]:
+            return False
+        for value, reach, size, low_too in rules.values():
+            low, _, high = quartiles(map(value, groups[lang, source]))
+            spread = max(high - low, 1 << max(0, high.bit_length() - 7)) * (1 + 2 / math.sqrt(len(groups[lang, source])))
+            if size:
+                spread = max(spread, 1000 * size[1] / max(quartiles(each[size[0]] for each in groups[lang, source])[1], 1))
+            if value(m) > high + int(reach * spread) or low_too and value(m) < low - int(reach * spread):
+                return False
+        return True
+
+    out = quality_rules.quality_rules(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    want = Counter((i, m[0], kept(lang, source, m)) for i, lang, source, m in measured)
+    assert by_row(out, "doc_id", "n_words", "kept") == want
+    assert {kept for *_, kept in want} == {True, False}
+
+
+def test_limits_differ_between_groups(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    failed = F.expr("m.n_words < 20 or 100 * m.n_repeat_words > 30 * m.n_words")
+    measured = docs.select(common.group_key("lang").alias("lang_key"), common.group_key("source").alias("source_key"), quality_rules.measures(F.col("text")).alias("m"))
+    limits = quality_rules.thresholds(measured.withColumn("base_failed", failed)).collect()
+    for name in quality_rules.RULES:
+        assert len({row[f"{name}_most"] for row in limits}) > 1
