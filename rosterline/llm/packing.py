@@ -147,28 +147,35 @@ def _tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
+def id_type_of(tokenizer: str) -> str:
+    """How ids are stored: two bytes each where the whole vocabulary fits, else four."""
+    return "<u2" if _tokenizer(tokenizer).model.get_vocab_size() <= 1 << 16 else "<u4"
+
+
 def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, source, source_key, key, ids (with the end mark) and n_tokens per document."""
+    """doc_id, source, source_key, key, ids (with the end mark, bytes as ``id_type_of`` says) and n_tokens per document."""
 
     def encode(batches):
-        model, end = _tokenizer(tokenizer), array("i", [END]).tobytes()
+        model, end, stored = _tokenizer(tokenizer), array("i", [END]).tobytes(), id_type_of(tokenizer)
+        size = np.dtype(stored).itemsize
         for batch in batches:
             texts = batch.column("text")
             for at in range(0, batch.num_rows, 256):
                 ids = [each + end for each in model.encode(texts.slice(at, 256).to_pylist())]
                 lengths = np.array([len(each) // 4 for each in ids], dtype=np.int64)
-                offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+                offsets = (np.concatenate([[0], np.cumsum(lengths)]) * size).astype(np.int32)
+                data = np.frombuffer(b"".join(ids), dtype=np.int32).astype(stored)
+                packed = pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
                 rest = [batch.column(name).slice(at, 256) for name in ("doc_id", "source", "source_key", "key")]
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), dtype=np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [*rest, lists, pa.array(lengths)], names=["doc_id", "source", "source_key", "key", "ids", "n_tokens"],
+                    [*rest, packed, pa.array(lengths)], names=["doc_id", "source", "source_key", "key", "ids", "n_tokens"],
                 )
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     narrow = docs.select(
         "doc_id", "source", group_key("source").alias("source_key"), hash_key("doc_id").alias("key"), "text"
     )
-    return narrow.mapInArrow(encode, f"doc_id {id_type}, source string, source_key string, key long, ids array<int>, n_tokens long")
+    return narrow.mapInArrow(encode, f"doc_id {id_type}, source string, source_key string, key long, ids binary, n_tokens long")
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
@@ -185,21 +192,24 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
     amounts = [row["total"] for row in totals]
     placed = prefix_sums(tokens, "source_key", "key", "n_tokens", ["doc_id", "n_tokens"], bucket_bits(tokens.count(), 1024))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    names = [part.split()[0] for part in PIECES.split(", ")]
+    names, stored = [part.split()[0] for part in PIECES.split(", ")], id_type_of(tokenizer)
 
     def cut(batches):
         rounds, last = Rounds(amounts, window), {}
         for batch in batches:
             columns = [batch.column(name).to_pylist() for name in ("doc_id", "source", "source_key", "before")]
-            lists, out = batch.column("ids"), []
+            packed, out = batch.column("ids"), []
+            offsets = np.frombuffer(packed.buffers()[1], dtype=np.int32)[packed.offset : packed.offset + len(packed) + 1]
+            data = np.frombuffer(packed.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]].view(stored).astype("<u4")
+            ends = ((offsets - offsets[0]) // np.dtype(stored).itemsize).tolist()
             for at, (doc_id, source, source_key, before) in enumerate(zip(*columns)):
-                ids = lists[at].values.to_numpy(zero_copy_only=False).astype("<u4")
+                ids = data[ends[at] : ends[at + 1]]
                 number = numbers[source_key]
                 seen, low = last.get(number, (0, 0))
                 first = rounds.window_of(number, before, low if before >= seen else 0)
                 last[number] = (before, first)
                 for start, length, sequence, offset in rounds.pieces(number, before, len(ids), first):
-                    crc = zlib.crc32(ids[start : start + length].tobytes())
+                    crc = zlib.crc32(ids[start : start + length])
                     out.append((doc_id, start, length, crc, len(ids), sequence, offset, source))
             if out:
                 yield pa.RecordBatch.from_pydict(
