@@ -43,12 +43,18 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return staged_at(df, label)[0]
 
 
-def staged_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """``staged`` and its folder, for ``remove_path`` once nothing reads it any more."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder, recorded where that is asked for."""
     path = fresh_path(spark, label)
     if (seen := _recorded.get()) is not None:
         seen.append(path)
+    return path
+
+
+def staged_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``staged`` and its folder, for ``remove_path`` once nothing reads it any more."""
+    spark = df.sparkSession
+    path = new_folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

@@ -6,11 +6,13 @@ import itertools
 import math
 import random
 import re
+import types
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -163,7 +165,29 @@ def test_pack(docs, none):
     assert packing.pack(none, queries.word_bpe()).count() == 0
 
 
-def test_top_k(spark):
+def test_histograms_count_every_score():
+    """Counts of two tasks add up to those of all scores, however wide their range."""
+    draw = np.random.default_rng(5)
+    for scale in (3, 40, 3000, 10**6):
+        matrix = draw.integers(-scale, scale, (90, 4))
+        rows = [(i, row.tolist()) for i, row in enumerate(matrix)]
+        norms = {4: float(np.sqrt((matrix.astype(float) ** 2).sum(axis=1).max()))}
+        some = rows[:6]
+        scores = np.array([sorted((int(matrix[q] @ matrix[c]) for c in range(90) if c != q), reverse=True) for q in range(6)])
+        low, shift = top_k._first_ranges(some, norms)
+        high = np.full(6, top_k.BINS)
+        counted = Counter()
+        for part in (rows[:40], rows[40:]):
+            batch = pa.RecordBatch.from_pydict({"vec_id": [i for i, _ in part], "v": [v for _, v in part]})
+            holder = types.SimpleNamespace(value=some), types.SimpleNamespace(value=(low, shift, high))
+            for out in top_k._histograms(*holder, 10**6)([batch]):
+                for row in out.to_pylist():
+                    counted[row["place"], row["bin"]] += row["n"]
+        want = Counter((q, (int(s) - int(low[q])) >> int(shift[q])) for q in range(6) for s in scores[q])
+        assert counted == want and sum(counted.values()) == 6 * 89
+
+
+def test_top_k(spark, monkeypatch):
     draw = np.random.default_rng(3)
     rows = [(i, [float(x) for x in draw.normal(0, 0.3, 6).astype("float32")]) for i in range(300)]
     rows += [(300 + i, rows[0][1]) for i in range(40)]  # ties
@@ -177,6 +201,10 @@ def test_top_k(spark):
             best = sorted((-int(v @ c), i) for i, c in ok if i != q)[:5]
             want |= {(q, rank, i, -s) for rank, (s, i) in enumerate(best, 1)}
     assert {tuple(r) for r in out.select("query_id", "rank", "vec_id", "score").collect()} == want
+    monkeypatch.setattr(top_k, "QUERY_BLOCK", 3)  # several blocks; plans do not grow with them
+    blocks = top_k.top_k(top_k.whole_vectors(df), F.col("vec_id") % 50 == 0)
+    assert {tuple(r) for r in blocks.select("query_id", "rank", "vec_id", "score").collect()} == want
+    assert "Union" not in blocks._jdf.queryExecution().toString()
     few = df.filter("vec_id in (0, 1, 2)")
     assert top_k.top_k(top_k.whole_vectors(few), F.col("vec_id") % 50 == 0).count() == 2
     assert top_k.top_k(top_k.whole_vectors(df.filter("false")), F.col("vec_id") % 50 == 0).count() == 0
