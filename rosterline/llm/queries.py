@@ -145,6 +145,63 @@ FROM a{rounds} a JOIN c{rounds} c ON a.cluster = c.cluster
 
 SQL = {
     "op12_centroid_clustering": _clustering_sql(16, 3, 64, 64, 1),
+    # The rules' reaches and events.
+    "op1_quality_rules": r"""
+WITH texts AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda line: regexp_matches(line, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+windows AS (
+  SELECT rid, i, count(*) OVER (PARTITION BY rid, array_to_string(words[i:i + 7], ' ')) AS times
+  FROM (SELECT rid, words, unnest(range(1, len(words) - 6)) AS i FROM texts)),
+repeated AS (
+  SELECT rid, sum(added) AS n FROM (
+    SELECT rid, least(8, coalesce(i - lag(i) OVER (PARTITION BY rid ORDER BY i), 8)) AS added FROM windows WHERE times > 1)
+  GROUP BY rid),
+measured AS (
+  SELECT t.doc_id, t.lang, t.source, CAST(len(t.words) AS BIGINT) AS n_words,
+    CAST(length(array_to_string(t.words, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t.text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(t.lines) - len(list_distinct(t.lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words
+  FROM texts t LEFT JOIN repeated r ON t.rid = r.rid),
+judged AS MATERIALIZED (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    1000 * word_chars // greatest(n_words, 1) AS word_length, 1000 * n_symbols // greatest(word_chars, 1) AS symbols,
+    1000 * n_dup_lines // greatest(n_words, 1) AS dup_lines, 1000 * n_repeat_words // greatest(n_words, 1) AS repeats
+  FROM measured),
+bins AS (
+  SELECT lang, source, rule, (value >> greatest(0, length(bin(value)) - 7)) << greatest(0, length(bin(value)) - 7) AS bin, count(*) AS n
+  FROM (UNPIVOT (SELECT lang, source, word_length, symbols, dup_lines, repeats, n_words, word_chars FROM judged WHERE NOT base_failed)
+    ON word_length, symbols, dup_lines, repeats, n_words, word_chars INTO NAME rule VALUE value)
+  GROUP BY ALL),
+ranked AS (
+  SELECT *, sum(n) OVER (PARTITION BY lang, source, rule ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY lang, source, rule) AS total FROM bins),
+quartiles AS (
+  SELECT lang, source, rule, CAST(max(total) AS DOUBLE) AS total, min(bin) FILTER (4 * upto >= total) AS low,
+    min(bin) FILTER (4 * upto >= 2 * total) AS middle, min(bin) FILTER (4 * upto >= 3 * total) AS high
+  FROM ranked GROUP BY ALL),
+rules(rule, reach, counted, event) AS (
+  VALUES ('word_length', 8, NULL, 0), ('symbols', 3, 'word_chars', 5), ('dup_lines', 3, 'n_words', 3), ('repeats', 3, 'n_words', 16)),
+spreads AS (
+  SELECT q.lang, q.source, q.rule, q.low, q.high, r.reach * greatest(
+    greatest(q.high - q.low, CAST(1 AS BIGINT) << greatest(0, length(bin(q.high)) - 7)) * (1 + 2 / sqrt(q.total)),
+    coalesce(CAST(1000 * r.event AS DOUBLE) / greatest(s.middle, 1), 0)) AS spread
+  FROM quartiles q JOIN rules r ON q.rule = r.rule
+  LEFT JOIN quartiles s ON s.rule = r.counted AND s.lang IS NOT DISTINCT FROM q.lang AND s.source IS NOT DISTINCT FROM q.source),
+limits AS (
+  SELECT lang, source,
+    max(high + CAST(floor(spread) AS BIGINT)) FILTER (rule = 'word_length') AS length_most,
+    max(low - CAST(floor(spread) AS BIGINT)) FILTER (rule = 'word_length') AS length_least,
+    max(high + CAST(floor(spread) AS BIGINT)) FILTER (rule = 'symbols') AS symbols_most,
+    max(high + CAST(floor(spread) AS BIGINT)) FILTER (rule = 'dup_lines') AS lines_most,
+    max(high + CAST(floor(spread) AS BIGINT)) FILTER (rule = 'repeats') AS repeats_most
+  FROM spreads GROUP BY lang, source)
+SELECT j.doc_id, j.n_words, j.word_chars, j.n_symbols, j.n_dup_lines, j.n_repeat_words, j.base_failed,
+  NOT j.base_failed AND coalesce(j.word_length BETWEEN l.length_least AND l.length_most AND j.symbols <= l.symbols_most
+    AND j.dup_lines <= l.lines_most AND j.repeats <= l.repeats_most, false) AS kept
+FROM judged j LEFT JOIN limits l ON j.lang IS NOT DISTINCT FROM l.lang AND j.source IS NOT DISTINCT FROM l.source
+""",
     "op2_source_mix": """
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
