@@ -7,6 +7,8 @@ import re
 import zlib
 from array import array
 from functools import lru_cache
+from itertools import accumulate
+from operator import sub
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,7 @@ class Rounds:
     def __init__(self, totals: list[int], window: int = WINDOW):
         self.totals, self.window, self.all = totals, window, sum(totals)
         self.served = lru_cache(maxsize=4096)(self._served)
+        self.places = lru_cache(maxsize=4096)(self._places)
 
     def _served(self, windows: int) -> list[int]:
         slots, tokens, out = min(windows * self.window, self.all), self.all, []
@@ -42,6 +45,10 @@ class Rounds:
             slots, tokens = slots - taken, tokens - total
         return out
 
+    def _places(self, window: int) -> list[int]:
+        """The offset at which each source's tokens begin in the window."""
+        return list(accumulate(map(sub, self.served(window + 1), self.served(window)), initial=0))
+
     def window_of(self, source: int, position: int, low: int = 0) -> int:
         """The window that holds this token of the source, at or after window ``low``."""
         step = 1
@@ -58,13 +65,17 @@ class Rounds:
 
     def pieces(self, source: int, position: int, length: int, low: int = 0):
         """(start, length, window, offset) of each piece of a document that begins at the position."""
-        start, window = 0, low
-        while start < length:
-            window = self.window_of(source, position + start, window)
-            before, after = self.served(window), self.served(window + 1)
-            size = min(after[source] - position - start, length - start)
-            yield start, size, window, sum(after[:source]) - sum(before[:source]) + position + start - before[source]
+        start, window = 0, self.window_of(source, position, low)
+        while True:
+            before, after = self.served(window)[source], self.served(window + 1)[source]
+            size = min(after - position - start, length - start)
+            yield start, size, window, self.places(window)[source] + position + start - before
             start += size
+            if start >= length:
+                return
+            window += 1
+            if self.served(window + 1)[source] <= position + start:
+                window = self.window_of(source, position + start, window)
 
 
 MOST_PARTS = 600_000  # parts of words remembered by a worker: some 100 MB
@@ -96,6 +107,10 @@ class WordTokenizer:
             and '"type": "Lowercase"' in steps[0] and '"type": "NFC"' in steps[0] and json.dumps(self.SPLIT) in steps[1]
             and '"behavior": "Removed"' in steps[1] and '"add_prefix_space": false' in steps[1]
         )
+        # Parts of plain characters are in lower case, composed and cut already: white space alone parts them.
+        levels = [step for step in (described["pre_tokenizer"] or {}).get("pretokenizers", []) if step["type"] == "ByteLevel"]
+        described |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *levels]}}
+        self.of_parts = Tokenizer.from_str(json.dumps(described)) if self.by_part else None
         letters = "a-zß-öø-ÿ"
         self.other = re.compile(r"[^ \t\n\r\x0b\x0c!-~À-ÖØ-öø-ÿ]").search
         self.cut = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[0-9]|[^{letters}0-9 \t\n\r\x0b\x0c]+").findall
@@ -113,9 +128,9 @@ class WordTokenizer:
         return out
 
     def _learn(self, parts: set[str]) -> dict[str, bytes]:
-        """Plain parts go through the tokenizer as one text, whose tokens say where each part ends; others as texts."""
+        """Plain parts go through the tokenizer's merges as one text, whose tokens say where each part ends; others as texts."""
         plain = [part for part in parts if "<|" not in part and not self.other(part)]
-        ids = np.array(self.model.encode(" ".join(plain), add_special_tokens=False).ids, dtype=np.int32)
+        ids = np.array(self.of_parts.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, dtype=np.int32)
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) != len(plain):
             raise ValueError("the tokenizer cuts parts further")
@@ -195,7 +210,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
     names, stored = [part.split()[0] for part in PIECES.split(", ")], id_type_of(tokenizer)
 
     def cut(batches):
-        rounds, last = Rounds(amounts, window), {}
+        rounds, last, crc32 = Rounds(amounts, window), {}, zlib.crc32
         for batch in batches:
             columns = [batch.column(name).to_pylist() for name in ("doc_id", "source", "source_key", "before")]
             packed, out = batch.column("ids"), []
@@ -208,9 +223,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
                 seen, low = last.get(number, (0, 0))
                 first = rounds.window_of(number, before, low if before >= seen else 0)
                 last[number] = (before, first)
-                for start, length, sequence, offset in rounds.pieces(number, before, len(ids), first):
-                    crc = zlib.crc32(ids[start : start + length])
-                    out.append((doc_id, start, length, crc, len(ids), sequence, offset, source))
+                size = len(ids)
+                for start, length, sequence, offset in rounds.pieces(number, before, size, first):
+                    out.append((doc_id, start, length, crc32(ids[start : start + length]), size, sequence, offset, source))
             if out:
                 yield pa.RecordBatch.from_pydict(
                     {name: list(values) for name, values in zip(names, zip(*out))}, schema=schema
