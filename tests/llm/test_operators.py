@@ -597,3 +597,29 @@ def test_limits_differ_between_groups(spark):
     limits = quality_rules.thresholds(measured.withColumn("base_failed", failed)).collect()
     for name in quality_rules.RULES:
         assert len({row[f"{name}_most"] for row in limits}) > 1
+
+
+def test_preferences_are_fitted_on_all_pairs(spark):
+    draw = np.random.default_rng(3)
+    y = np.arange(200) % 2
+    x = draw.normal(size=(200, preference.FEATURES)) + 0.4 * y[:, None] * (np.arange(preference.FEATURES) < 3)
+    rows = spark.createDataFrame([(int(label), values.tolist()) for label, values in zip(y, x)], "y long, x array<double>")
+    mean, spread = preference.spread_of(rows)
+    assert np.allclose(mean, x.mean(axis=0), atol=1e-5) and np.allclose(spread, x.std(axis=0), atol=1e-5)
+    weights = preference.fit_pairs(rows.repartition(3), mean, spread)
+    z = x / x.std(axis=0)
+    apart = (z[y == 1][:, None, :] - z[y == 0][None, :, :]).reshape(-1, preference.FEATURES)
+    gradient = -(apart * (1 / (1 + np.exp(apart @ weights)))[:, None]).mean(axis=0) + 1e-3 * weights
+    assert np.abs(gradient).max() < 2e-3 < 0.05 < np.abs(apart.mean(axis=0) / 2).max()
+
+
+def test_preferences_learn_from_rows_past_the_first_20000(spark):
+    ids = spark.range(27_500).select(F.col("id").alias("doc_id")).filter(~preference.held_out(F.col("doc_id"), 4, 2))
+    order = [row[0] for row in ids.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").collect()]
+    assert len(order) > 20_300
+    texts = ["the town has a long street of shops", "# | # the town # has # a | # street", "THE TOWN HAS A LONG STREET OF SHOPS"]
+    kind = {doc_id: 1 if at < 20_000 else 2 for at, doc_id in enumerate(order)} | {30_000 + i: 0 for i in range(200)}
+    docs = spark.createDataFrame([(doc_id, texts[at]) for doc_id, at in kind.items()], "doc_id long, text string")
+    labels = spark.createDataFrame([(doc_id, int(at == 0)) for doc_id, at in kind.items()], "doc_id long, quality int")
+    out = preference.preference_scores(docs, labels).collect()
+    assert all(row["predicted"] == int(kind[row["doc_id"]] == 0) for row in out)
