@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -81,11 +82,11 @@ def full_uri(spark: SparkSession, path: str) -> str:
     return re.sub("^file:/+", "file:///", system.makeQualified(place).toUri().toString())
 
 
-def size_shuffles(spark: SparkSession, *paths: str, bytes_per_partition: int = 64 << 20) -> int:
+def size_shuffles(spark: SparkSession, *paths: str, bytes_per_partition: int = 8 << 20) -> int:
     """Raise the number of shuffle partitions to suit the files in the folders; returns the number.
 
     It is never lowered: adaptive execution merges partitions that turn out small. The files are columnar
-    and compressed, so a partition of 64 MB of them is several times that in a shuffle.
+    and compressed, so a partition of 8 MB of them may be hundreds of MB of wide rows in a sort.
     """
     total = 0
     for path in paths:
@@ -96,6 +97,26 @@ def size_shuffles(spark: SparkSession, *paths: str, bytes_per_partition: int = 6
     return wanted
 
 
+def size_reads(spark: SparkSession, bytes_per_partition: int = 16 << 20) -> None:
+    """Lower the bytes of files that a task reads: 16 MB of columnar files may be hundreds of MB of rows in a sort."""
+    name = "spark.sql.files.maxPartitionBytes"
+    units = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+    number, unit = re.fullmatch(r"(\d+)([bkmgt]?)b?", spark.conf.get(name).strip().lower()).groups()
+    if int(number) * units.get(unit, 1) > bytes_per_partition:
+        spark.conf.set(name, str(bytes_per_partition))
+
+
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str):
+    """A setting of the session for the jobs that run in this block."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def workspace(spark: SparkSession) -> str:
     """Create a database whose tables live in the shared folder; returns its name."""
     name = f"staffing_{uuid.uuid4().hex[:12]}"

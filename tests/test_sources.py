@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rosterline.operators.contract import ContractError, check_contract
 from rosterline.operators.headers import check_headers, find_header, strip_headers
-from rosterline.session import size_shuffles
+from rosterline.session import setting, size_reads, size_shuffles
 from rosterline.sources import catalog, workbooks
 from rosterline.sources.export import export_rows
 from rosterline.sources.ingest import as_text, ingest_batch, ingest_text, read_text, replace_validated
@@ -265,3 +265,17 @@ def test_shuffles_are_sized_by_the_files(spark, tmp_path):
         assert size_shuffles(spark, str(tmp_path), bytes_per_partition=1000) > 100
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_tasks_stay_small_whatever_the_size_of_the_files(spark, tmp_path):
+    with (tmp_path / "large.parquet").open("wb") as file:
+        file.truncate(400 << 20)
+    reads = "spark.sql.files.maxPartitionBytes"
+    with setting(spark, "spark.sql.shuffle.partitions", "8"), setting(spark, reads, "128MB"):
+        assert size_shuffles(spark, str(tmp_path)) == 50
+        size_reads(spark)
+        assert spark.conf.get(reads) == str(16 << 20)
+        spark.conf.set(reads, "1m")
+        size_reads(spark)
+        assert spark.conf.get(reads) == "1m"
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "8"

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rosterline.session import fresh_path, path_exists, size_shuffles
+from rosterline.session import fresh_path, path_exists, setting, size_reads, size_shuffles
 
 RAW_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "conversations",
@@ -161,9 +161,13 @@ def _stage(spark: SparkSession, sf_dir: str) -> tuple[str, dict[str, DataFrame]]
     """Write the derived tables once: the line items by role, so that each fact reads only its own."""
     folder = fresh_path(spark, "inputs")
     size_shuffles(spark, sf_dir)
+    size_reads(spark)
 
     def stored(name: str, df: DataFrame, *partition_by: str) -> DataFrame:
-        df.write.partitionBy(*partition_by).parquet(f"{folder}/{name}")
+        # A file is open per role, so rows need no sort by it; small partitions of wide rows are not merged into large ones.
+        writers, merged = "spark.sql.maxConcurrentOutputFileWriters", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+        with setting(spark, writers, "16"), setting(spark, merged, "16m"):
+            df.write.partitionBy(*partition_by).parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")
 
     derived = _derive(spark, sf_dir)
