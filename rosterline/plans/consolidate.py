@@ -2,9 +2,9 @@
 
 There are two forms with the same result. ``one_shuffle`` unions the narrowed facts and groups them
 once, so each fact is read once, and the one exchange carries a partial row per key and task; a hot key
-is no larger there than any other. A description travels as a (rank, value) struct, NULL where the value
-is: its least is a value of the best-ranked source that has one, so one column does the work of one per
-source. The facts may be given as stored parts, one row per key already (see ``plans.parts``): these are
+is no larger there than any other. A description travels as a (rank, value) struct, or if it is text, as one
+text that begins with the rank, which takes half the memory; NULL where the value is: its least is a value of
+the best-ranked source that has one, so one column does the work of one per source. The facts may be given as stored parts, one row per key already (see ``plans.parts``): these are
 merged instead of aggregated, and as they lie in buckets of one column, without an exchange. ``joined`` summarises each fact, builds the key spine and joins the
 summaries to it; it is the plain reading of the report and the check on the first form.
 """
@@ -17,11 +17,13 @@ from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from rosterline.operators.grain import Source, attach, spine, summarise, to_grain
 from rosterline.operators.headers import column, pick
 
 Tables = Mapping[str, DataFrame]
+MOST_CHARACTERS = (1 << 31) - 2
 KEY_HASH = "__key_hash"  # in a part: the column its rows are bucketed by
 
 
@@ -52,6 +54,10 @@ def is_part(df: DataFrame) -> bool:
     return KEY_HASH in df.columns
 
 
+def _rank(number: int) -> str:
+    return chr(ord("0") + number)
+
+
 def _present(source: Source) -> str:
     return f"has_{source.table}"
 
@@ -77,6 +83,13 @@ def _one_shuffle(tables: Tables, layout: Layout) -> DataFrame:
         raise ValueError("either all facts are given as parts, or none")
     parts = all(given)
 
+    def is_text(source: Source, attribute: str) -> bool:
+        df = tables[source.table]
+        value = column(df, attribute) if parts else pick(df, *source.attributes[attribute])
+        return isinstance(df.select(value).schema[0].dataType, StringType)
+
+    texts = {name for name, choices in carried.items() if len(choices) <= 9 and all(is_text(*choice) for choice in choices)}
+
     def narrowed(source: Source) -> DataFrame:
         df = tables[source.table]
         columns = [F.col(KEY_HASH), *[column(df, key) for key in layout.grain]] if parts else source.key_columns(df, layout.grain)
@@ -88,8 +101,11 @@ def _one_shuffle(tables: Tables, layout: Layout) -> DataFrame:
             for rank, (owner, attribute) in enumerate(choices):
                 if owner == source:
                     value = column(df, attribute) if parts else pick(df, *source.attributes[attribute])
-                    ranked = F.struct(F.lit(rank).cast("byte").alias("rank"), value.alias("value"))
-                    columns.append(F.when(value.isNotNull(), ranked).alias(name))
+                    if name in texts:
+                        columns.append(F.concat(F.lit(_rank(rank)), value).alias(name))
+                    else:
+                        ranked = F.struct(F.lit(rank).cast("byte").alias("rank"), value.alias("value"))
+                        columns.append(F.when(value.isNotNull(), ranked).alias(name))
         return df.select(*columns)
 
     def together(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -117,7 +133,11 @@ def _one_shuffle(tables: Tables, layout: Layout) -> DataFrame:
 
     def description(name: str) -> Column:
         best, choices = F.col(carrier[name]), layout.attributes[name]
-        value = best["value"] if carrier[name] == name else F.when(best["rank"] < len(choices), best["value"])
+        if carrier[name] in texts:
+            value, is_own = F.substring(best, 2, MOST_CHARACTERS), best < _rank(len(choices))
+        else:
+            value, is_own = best["value"], best["rank"] < len(choices)
+        value = value if carrier[name] == name else F.when(is_own, value)
         return if_matched(layout.spine[0] if len(layout.spine) == 1 else None, value).alias(name)
 
     return keyed.select(

@@ -55,3 +55,24 @@ def test_scans_are_pruned(spark, name, columns):
 def test_filters_reach_the_scan(spark):
     assert re.search(r"PushedFilters: \[[^\]]*IsNotNull\(role|PartitionFilters: \[isnotnull\(role", plan_of(QUERIES["not_null_filter"](spark, SMALL)))
     assert "PushedFilters: [IsNotNull(role), EqualTo(role,user)" in plan_of(QUERIES["append_if_absent"](spark, SMALL))
+
+
+def test_descriptions_that_are_text_travel_as_one_text(spark):
+    from rosterline.operators.grain import Source
+    from rosterline.plans.consolidate import Layout, consolidate
+
+    first, second = (Source(name, {"k": ("k",)}, {}, {"name": ("name",), "size": ("size",)}) for name in ("first", "second"))
+    schema = "k string, name string, size int"
+    tables = {
+        "first": spark.createDataFrame([("a", "", None), ("a", "9x", None), ("b", None, 7), (None, "n", 1)], schema),
+        "second": spark.createDataFrame([("a", "0", 3), ("b", "1 é", 12), ("c", None, None)], schema),
+    }
+    choices = {"name": [(first, "name"), (second, "name")], "size": [(first, "size"), (second, "size")], "own": [(first, "name")]}
+    layout = Layout(("k",), (first, second), {}, choices)
+    out = consolidate(tables, layout)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "name AS value" not in plan and "size" in plan
+    assert out.schema["size"].dataType.simpleString() == "int"
+    found = {tuple(row) for row in out.select("k", "name", "size", "own").collect()}
+    assert found == {("a", "", 3, ""), ("b", "1 é", 7, None), ("c", None, None, None), (None, None, None, None)}
+    assert found == {tuple(row) for row in consolidate(tables, layout, "joined").select("k", "name", "size", "own").collect()}
