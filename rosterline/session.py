@@ -97,13 +97,11 @@ def size_shuffles(spark: SparkSession, *paths: str, bytes_per_partition: int = 8
     return wanted
 
 
-def size_reads(spark: SparkSession, bytes_per_partition: int = 16 << 20) -> None:
-    """Lower the bytes of files that a task reads: 16 MB of columnar files may be hundreds of MB of rows in a sort."""
-    name = "spark.sql.files.maxPartitionBytes"
-    units = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
-    number, unit = re.fullmatch(r"(\d+)([bkmgt]?)b?", spark.conf.get(name).strip().lower()).groups()
-    if int(number) * units.get(unit, 1) > bytes_per_partition:
-        spark.conf.set(name, str(bytes_per_partition))
+def size_reads(spark: SparkSession, partitions: int) -> None:
+    """Raise the number of tasks that read a large table; a few MB of columnar files may be hundreds of MB in a sort."""
+    name = "spark.sql.files.minPartitionNum"
+    if partitions > int(spark.conf.get(name, None) or 0):
+        spark.conf.set(name, str(partitions))
 
 
 @contextmanager

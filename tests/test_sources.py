@@ -270,12 +270,10 @@ def test_shuffles_are_sized_by_the_files(spark, tmp_path):
 def test_tasks_stay_small_whatever_the_size_of_the_files(spark, tmp_path):
     with (tmp_path / "large.parquet").open("wb") as file:
         file.truncate(400 << 20)
-    reads = "spark.sql.files.maxPartitionBytes"
-    with setting(spark, "spark.sql.shuffle.partitions", "8"), setting(spark, reads, "128MB"):
-        assert size_shuffles(spark, str(tmp_path)) == 50
-        size_reads(spark)
-        assert spark.conf.get(reads) == str(16 << 20)
-        spark.conf.set(reads, "1m")
-        size_reads(spark)
-        assert spark.conf.get(reads) == "1m"
+    reads = "spark.sql.files.minPartitionNum"
+    with setting(spark, "spark.sql.shuffle.partitions", "8"), setting(spark, reads, "9"):
+        size_reads(spark, size_shuffles(spark, str(tmp_path)))
+        assert spark.conf.get("spark.sql.shuffle.partitions") == spark.conf.get(reads) == "50"
+        size_reads(spark, 10)
+        assert spark.conf.get(reads) == "50"
     assert spark.conf.get("spark.sql.shuffle.partitions") == "8"

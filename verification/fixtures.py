@@ -160,8 +160,7 @@ def _derive(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 def _stage(spark: SparkSession, sf_dir: str) -> tuple[str, dict[str, DataFrame]]:
     """Write the derived tables once: the line items by role, so that each fact reads only its own."""
     folder = fresh_path(spark, "inputs")
-    size_shuffles(spark, sf_dir)
-    size_reads(spark)
+    size_reads(spark, size_shuffles(spark, sf_dir))
 
     def stored(name: str, df: DataFrame, *partition_by: str) -> DataFrame:
         # A file is open per role, so rows need no sort by it; small partitions of wide rows are not merged into large ones.
