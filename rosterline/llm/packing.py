@@ -7,9 +7,11 @@ import re
 import zlib
 from array import array
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,15 +71,16 @@ class Rounds:
 
 MOST_PARTS = 600_000  # parts of words remembered by a worker: some 100 MB
 LONGEST_PART = 64
+BYTES_AT_ONCE = 4 << 20  # of text: words are looked up once for so much
 
 
 class WordTokenizer:
     """Token ids of texts through those of the parts that the tokenizer itself cuts words into.
 
     The described tokenizer drops white space, cuts the rest into letters, digits and others in lower case, and merges
-    within such a part. A text of plain characters, printable ASCII, its white space and the letters of Latin-1, is
-    cut here by the same pattern; of any other text the words with other characters are parts as a whole. Parts are
-    looked up, and new ones encoded by the tokenizer, many at once. Other tokenizers encode whole texts.
+    within such a part. A word of plain characters, printable ASCII and the letters of Latin-1, is cut here by the same
+    pattern; a word with other characters is one part. Arrow cuts many texts into words and numbers the distinct ones;
+    of these the parts are looked up, and new ones encoded by the tokenizer. Other tokenizers encode whole texts.
     """
 
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"  # fixed value: the tokenizer's own pattern
@@ -102,20 +105,13 @@ class WordTokenizer:
         self.of_parts = Tokenizer.from_str(json.dumps(described)) if self.by_part else None
         letters = "a-zß-öø-ÿ"
         self.other = re.compile(r"[^ \t\n\r\x0b\x0c!-~À-ÖØ-öø-ÿ]").search
-        self.cut = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[0-9]|[^{letters}0-9 \t\n\r\x0b\x0c]+").findall
+        self.odd_word = r"<\||[^!-~À-ÖØ-öø-ÿ]"
+        self.cut_lines = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[0-9]|\n|[^{letters}0-9 \t\n\r\x0b\x0c]+").findall
         self.ends = np.zeros(self.model.get_vocab_size(), dtype=bool)
         for token, number in self.model.get_vocab().items():
             self.ends[number] = token.endswith(self.END_OF_PART)
         self.parts: dict[str, bytes] = {}
 
-    def _parts_of(self, text: str) -> list[str]:
-        if "<|" not in text and not self.other(text):
-            return self.cut(text.lower())
-        out = []
-        for word in re.split("[ \t\n\r\x0b\x0c]+", text):
-            out += [word] if "<|" in word or self.other(word) else self.cut(word.lower())
-        return out
-
     def _learn(self, parts: set[str]) -> dict[str, bytes]:
         """Plain parts go through the tokenizer's merges as one text, whose tokens say where each part ends; others as texts."""
         plain = [part for part in parts if "<|" not in part and not self.other(part)]
@@ -129,21 +125,62 @@ class WordTokenizer:
         self.parts.update((part, ids) for part, ids in learnt.items() if len(part) <= LONGEST_PART)
         return learnt
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text, as 32-bit numbers."""
-        if not self.by_part:
-            return [array("i", each.ids).tobytes() for each in self.model.encode_batch_fast([text or "" for text in texts], add_special_tokens=False)]
+    def _ids_of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of plain words and then of odd ones, each word's followed by -1, and per word where its ids are: starts and sizes."""
         if len(self.parts) > MOST_PARTS:
             self.parts = {}
-        cut = [self._parts_of(text or "") for text in texts]
-        known = self.parts.get
-        found = [list(map(known, parts)) for parts in cut]
-        unknown = [None in ids for ids in found]
-        new = {part for parts, ids, some in zip(cut, found, unknown) if some for part, each in zip(parts, ids) if each is None}
-        if new:
-            learnt = self._learn(new)
-            found = [[each if each is not None else learnt[part] for part, each in zip(parts, ids)] if some else ids for parts, ids, some in zip(cut, found, unknown)]
-        return [b"".join(ids) for ids in found]
+        odd = pc.match_substring_regex(words, self.odd_word)
+        plain = words.filter(pc.invert(odd))
+        lines = pc.binary_join(pa.ListArray.from_arrays([0, len(plain)], plain), "\n")[0].as_py() + "\n" if len(plain) else ""
+        parts = self.cut_lines(lines.lower())
+        parts.extend(chain.from_iterable(zip(words.filter(odd).to_pylist(), repeat("\n"))))
+        new = set(parts).difference(self.parts, "\n")
+        learnt = self._learn(new) if new else {}
+        passing = {part: ids for part, ids in learnt.items() if part not in self.parts} | {"\n": array("i", [-1]).tobytes()}
+        self.parts.update(passing)
+        ids = np.frombuffer(b"".join(map(self.parts.__getitem__, parts)), dtype=np.int32)
+        for part in passing:
+            del self.parts[part]
+        ends = np.flatnonzero(ids == -1)
+        sizes, odd = np.diff(ends, prepend=-1) - 1, odd.to_numpy(zero_copy_only=False)
+        places = np.where(odd, len(plain) + np.cumsum(odd), np.cumsum(~odd)) - 1
+        return ids, (ends - sizes)[places], sizes[places]
+
+    def encode_marked(self, texts: pa.Array, mark: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, as 32-bit numbers, with the mark after each text, and how many each text has."""
+        texts = pc.fill_null(texts, "")
+        if self.by_part:
+            cut = pc.ascii_split_whitespace(texts)
+            counts, coded = pc.list_value_length(cut).to_numpy(), cut.flatten().dictionary_encode()
+            numbers = coded.indices.to_numpy()
+            ids, starts, sizes = self._ids_of_words(coded.dictionary)
+        else:
+            counts, numbers = np.ones(len(texts), dtype=np.int32), np.arange(len(texts))
+            encoded = [each.ids for each in self.model.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            ids, sizes = np.array([*chain.from_iterable(encoded)], dtype=np.int32), np.array([*map(len, encoded)], dtype=np.int64)
+            starts = np.cumsum(sizes) - sizes
+        numbers = np.insert(numbers, np.cumsum(counts), len(sizes))
+        ids, starts, sizes = np.append(ids, np.array(mark, dtype=np.int32)), np.append(starts, len(ids)), np.append(sizes, len(mark))
+        lengths = sizes[numbers]
+        ends = np.cumsum(lengths)
+        places = np.arange(lengths.sum()) + np.repeat(starts[numbers] - ends + lengths, lengths)
+        return ids[places], np.diff(ends[np.cumsum(counts + 1) - 1], prepend=0)
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text, as 32-bit numbers."""
+        ids, lengths = self.encode_marked(pa.array(texts, pa.string()), [])
+        ends = np.cumsum(lengths)
+        return [ids[end - length : end].tobytes() for end, length in zip(ends, lengths)]
+
+
+def slices(sizes: np.ndarray, most: int):
+    """(first, number) of runs of items, each with the given size at most in all, or of one item."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        before = ends[at] - sizes[at]
+        following = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield at, following - at
+        at = following
 
 
 @lru_cache(maxsize=2)
@@ -160,17 +197,14 @@ def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, source, source_key, key, ids (with the end mark, bytes as ``id_type_of`` says) and n_tokens per document."""
 
     def encode(batches):
-        model, end, stored = _tokenizer(tokenizer), array("i", [END]).tobytes(), id_type_of(tokenizer)
-        size = np.dtype(stored).itemsize
+        model, stored = _tokenizer(tokenizer), id_type_of(tokenizer)
         for batch in batches:
             texts = batch.column("text")
-            for at in range(0, batch.num_rows, 256):
-                ids = [each + end for each in model.encode(texts.slice(at, 256).to_pylist())]
-                lengths = np.array([len(each) // 4 for each in ids], dtype=np.int64)
-                offsets = (np.concatenate([[0], np.cumsum(lengths)]) * size).astype(np.int32)
-                data = np.frombuffer(b"".join(ids), dtype=np.int32).astype(stored)
-                packed = pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-                rest = [batch.column(name).slice(at, 256) for name in ("doc_id", "source", "source_key", "key")]
+            for at, number in slices(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), BYTES_AT_ONCE):
+                ids, lengths = model.encode_marked(texts.slice(at, number), [END])
+                offsets = (np.concatenate([[0], np.cumsum(lengths)]) * np.dtype(stored).itemsize).astype(np.int32)
+                packed = pa.BinaryArray.from_buffers(pa.binary(), number, [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype(stored))])
+                rest = [batch.column(name).slice(at, number) for name in ("doc_id", "source", "source_key", "key")]
                 yield pa.RecordBatch.from_arrays(
                     [*rest, packed, pa.array(lengths)], names=["doc_id", "source", "source_key", "key", "ids", "n_tokens"],
                 )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from array import array
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
@@ -49,6 +50,19 @@ def test_memory_is_bounded_and_long_words_are_not_kept(both, monkeypatch):
     assert "y" * 5000 not in both[0].parts and len(both[0].parts) <= 53
 
 
+def test_a_word_of_many_texts_is_cut_once(both):
+    cut, seen = both[0].cut_lines, []
+    both[0].cut_lines = lambda text: seen.append(len(text)) or cut(text)
+    same(*both, ["It's " + "some words, " * 2000] * 50)
+    assert sum(seen) < 100
+
+
+def test_slices_hold_so_many_bytes_or_one_text():
+    sizes = np.array([3, 0, 4, 9, 1, 1, 0], dtype=np.int32)
+    assert list(packing.slices(sizes, 7)) == [(0, 3), (3, 1), (4, 3)]
+    assert list(packing.slices(sizes[:0], 7)) == []
+
+
 def test_other_tokenizers_encode_whole_texts(tmp_path):
     path = str(tmp_path / "other.json")
     model = Tokenizer.from_file(queries.word_bpe())
