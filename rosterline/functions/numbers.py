@@ -28,7 +28,14 @@ def round5(col: Column) -> Column:
 
     Rounding the decimal text of the double, as Spark does, gives other results at some ties.
     """
-    return F.round(col * 100000.0) / 100000.0
+    return nearest(col * 100000.0) / 100000.0
+
+
+def nearest(col: Column) -> Column:
+    """A double's nearest whole number, halves away from zero, as ``round`` gives it, which goes through decimals."""
+    even = F.rint(col)
+    over = col - even
+    return F.when((F.abs(over) == 0.5) & (over * col > 0), even + 2 * over).otherwise(even) + F.lit(0.0)
 
 
 def whole(col: Column) -> Column:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
@@ -11,6 +12,8 @@ from rosterline.functions import (
     any_matches, any_non_null, avg_text, contains_ci, ist_text, label_missing, per_unit, prediction_date_text, round5,
     sum_text, table_name_expr, to_number, whole,
 )
+from rosterline.functions.numbers import nearest
+from tests.test_plans import plan_of
 
 
 def one(spark, schema, values, expression):
@@ -95,3 +98,16 @@ def test_table_names(spark):
 @given(st.lists(st.text(alphabet="aB. xlsb\t\n", max_size=20), min_size=20, max_size=40))
 def test_table_names_at_random(spark, names):
     assert one(spark, "v string", names, table_name_expr(F.col("v"))) == [plain_table_name(name) for name in names]
+
+
+def test_round5_takes_no_decimals_and_rounds_as_round_does(spark):
+    draw, halves = random.Random(5), [k + 0.5 for k in range(-9, 9)]
+    around = [math.nextafter(half, to) for half in halves for to in (-math.inf, math.inf)]
+    large = [sign * (2.0**power + step) for sign in (1, -1) for power in (51, 52, 53, 70, 1000) for step in (-1, -0.5, 0, 0.5, 1)]
+    odd = [None, 0.0, -0.0, -0.3, 5e-324, math.nan, math.inf, -math.inf, 1.7976931348623157e308]
+    drawn = [draw.uniform(-(10.0**power), 10.0**power) for power in range(-8, 18) for _ in range(200)]
+    values = spark.createDataFrame([(each,) for each in [*halves, *around, *large, *odd, *drawn]], "x double")
+    x = F.col("x").cast("double")
+    got = values.select("x", nearest(x).alias("a"), F.round(x).alias("b"), round5(x).alias("c"), (F.round(x * 100000.0) / 100000.0).alias("d"))
+    assert all(repr(row.a) == repr(row.b) and repr(row.c) == repr(row.d) for row in got.collect())
+    assert "round(" not in plan_of(values.select(round5(x)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow.parquet as pq
 import pytest
 
 from rosterline.plans import reports
@@ -76,3 +77,10 @@ def test_descriptions_that_are_text_travel_as_one_text(spark):
     found = {tuple(row) for row in out.select("k", "name", "size", "own").collect()}
     assert found == {("a", "", 3, ""), ("b", "1 é", 7, None), ("c", None, None, None), (None, None, None, None)}
     assert found == {tuple(row) for row in consolidate(tables, layout, "joined").select("k", "name", "size", "own").collect()}
+
+
+def test_keys_of_staged_rows_are_written_without_a_dictionary(spark):
+    files = report_tables(spark, SMALL)["utilization_prediction_report"].inputFiles()
+    chunks = pq.ParquetFile(files[0].removeprefix("file://")).metadata.row_group(0)
+    dictionary = {chunks.column(i).path_in_schema: any("DICTIONARY" in each for each in chunks.column(i).encodings) for i in range(chunks.num_columns)}
+    assert dictionary["practice"] and not any(dictionary[name] for name in ("l_orderkey", "c_custkey", "c_name"))

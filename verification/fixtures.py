@@ -134,6 +134,9 @@ REPORT_TABLES = {
     **{name: name for name in LOOKUPS},
 }
 
+# Columns whose values seldom repeat in a file: a dictionary of them takes time to fill and saves no space.
+PLAIN = {f"parquet.enable.dictionary#{name}": "false" for name in ("l_orderkey", "c_custkey", "c_name")}
+
 _staged: dict[tuple[str, str], tuple[str, dict[str, DataFrame]]] = {}
 
 
@@ -166,7 +169,7 @@ def _stage(spark: SparkSession, sf_dir: str) -> tuple[str, dict[str, DataFrame]]
         # A file is open per role, so rows need no sort by it; small partitions of wide rows are not merged into large ones.
         writers, merged = "spark.sql.maxConcurrentOutputFileWriters", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
         with setting(spark, writers, "16"), setting(spark, merged, "16m"):
-            df.write.partitionBy(*partition_by).parquet(f"{folder}/{name}")
+            df.write.options(**PLAIN).partitionBy(*partition_by).parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")
 
     derived = _derive(spark, sf_dir)
