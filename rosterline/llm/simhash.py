@@ -46,6 +46,9 @@ def links(prints: DataFrame) -> DataFrame:
     go through hubs: around each member's other segment, all values in a small ball. Two members that differ
     by d bits there meet at a hub between them, and all who are near enough to a hub link to the least owner
     within one bit of it. That takes a fixed number of rows per member and links the same components.
+
+    Spark sizes an exploded table like the table it comes from, dozens of times too low, and would broadcast it
+    through the driver. So what is exploded is joined by sorting both sides, or filtered by the crowded values.
     """
     segments = F.array(*[
         F.struct(F.lit(i).alias("segment"), own.alias("own"), other.alias("other"))
@@ -61,8 +64,8 @@ def links(prints: DataFrame) -> DataFrame:
     owners = table.join(crowded, ["segment", "value"], "left_anti")
     mine = owners.select("segment", "value", F.col("fp").alias("a"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE
-    same = mine.join(owners.select("segment", "value", F.col("fp").alias("b")), ["segment", "value"]).filter("a < b")
-    next_to = mine.join(lookups.select("segment", "value", F.col("fp").alias("b")), ["segment", "value"])
+    same = mine.join(owners.select("segment", "value", F.col("fp").alias("b")).hint("merge"), ["segment", "value"]).filter("a < b")
+    next_to = mine.join(lookups.select("segment", "value", F.col("fp").alias("b")).hint("merge"), ["segment", "value"])
     plain = same.unionByName(next_to).filter(near).select("a", "b")
 
     def ball(radius: int) -> str:
@@ -75,10 +78,10 @@ def links(prints: DataFrame) -> DataFrame:
         return hubs
 
     keys = ["segment", "value", "hub"]
-    inside = table.join(crowded, ["segment", "value"]).select("segment", "value", "fp", F.explode(F.expr(ball(2))).alias("h")).select("segment", "value", "fp", "h.*")
-    guests = lookups.join(crowded, ["segment", "value"]).select("segment", "value", "fp", F.explode(F.expr(ball(1))).alias("h")).select("segment", "value", "fp", "h.*")
+    inside = table.join(crowded, ["segment", "value"], "left_semi").select("segment", "value", "fp", F.explode(F.expr(ball(2))).alias("h")).select("segment", "value", "fp", "h.*")
+    guests = lookups.join(crowded, ["segment", "value"], "left_semi").select("segment", "value", "fp", F.explode(F.expr(ball(1))).alias("h")).select("segment", "value", "fp", "h.*")
     anchors = inside.filter("away <= 1").groupBy(*keys).agg(F.min("fp").alias("anchor"))
-    members = inside.unionByName(guests).join(anchors, keys).filter("fp <> anchor")
+    members = inside.unionByName(guests).join(anchors.hint("merge"), keys).filter("fp <> anchor")
     through = members.select(F.least("fp", "anchor").alias("a"), F.greatest("fp", "anchor").alias("b"))
     verified = through.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)
     return plain.unionByName(verified).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -416,6 +416,22 @@ def test_links_keep_components(spark, monkeypatch, crowd):
     assert {frozenset(g) for g in groups.values()} == components_of({p & (2**64 - 1) for p in prints})
 
 
+def test_links_broadcast_nothing_exploded(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWD", 4)
+    draw = random.Random(6)
+    prints = {draw.getrandbits(63) for _ in range(500)} | {(7 << 32) ^ (1 << i) ^ (1 << j) for i in range(20) for j in range(i)}
+    links = simhash.links(common.staged(spark.createDataFrame([(p,) for p in prints], "fp long"), "prints"))
+    assert links.count() > 0
+    links.collect()
+    lines = links._jdf.queryExecution().executedPlan().toString().splitlines()  # the plan as run, and as first made
+    depth = [len(re.match(r"[\s:+*-]*", line).group()) for line in lines]
+    assert any("Generate" in line for line in lines)
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = itertools.takewhile(lambda k: depth[k] > depth[i], range(i + 1, len(lines)))
+            assert not any("Generate" in lines[k] for k in below)
+
+
 def test_near_duplicates(docs, none):
     def plain(text):
         words = re.findall(common.WORD, "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
