@@ -13,6 +13,7 @@ from rosterline.llm.common import column_function, staged
 SHINGLE = 3
 DISTANCE = 3
 CROWD = 128  # owners of a segment value from which links go by hubs
+FEW = 40_000  # fingerprints whose lookups, 32 each, Spark may broadcast: under 200 MB
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -48,8 +49,10 @@ def links(prints: DataFrame) -> DataFrame:
     within one bit of it. That takes a fixed number of rows per member and links the same components.
 
     Spark sizes an exploded table like the table it comes from, dozens of times too low, and would broadcast it
-    through the driver. So what is exploded is joined by sorting both sides, or filtered by the crowded values.
+    through the driver. So what is exploded is joined by sorting both sides, or filtered by the crowded values;
+    owners and lookups of few fingerprints are left to Spark, as sorts in many small tasks take executors more memory.
     """
+    few = prints.count() <= FEW
     segments = F.array(*[
         F.struct(F.lit(i).alias("segment"), own.alias("own"), other.alias("other"))
         for i, (own, other) in enumerate([_halves(0), _halves(1)])
@@ -64,8 +67,9 @@ def links(prints: DataFrame) -> DataFrame:
     owners = table.join(crowded, ["segment", "value"], "left_anti")
     mine = owners.select("segment", "value", F.col("fp").alias("a"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE
-    same = mine.join(owners.select("segment", "value", F.col("fp").alias("b")).hint("merge"), ["segment", "value"]).filter("a < b")
-    next_to = mine.join(lookups.select("segment", "value", F.col("fp").alias("b")).hint("merge"), ["segment", "value"])
+    joined = mine if few else mine.hint("merge")
+    same = joined.join(owners.select("segment", "value", F.col("fp").alias("b")), ["segment", "value"]).filter("a < b")
+    next_to = joined.join(lookups.select("segment", "value", F.col("fp").alias("b")), ["segment", "value"])
     plain = same.unionByName(next_to).filter(near).select("a", "b")
 
     def ball(radius: int) -> str:

@@ -418,6 +418,7 @@ def test_links_keep_components(spark, monkeypatch, crowd):
 
 def test_links_broadcast_nothing_exploded(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CROWD", 4)
+    monkeypatch.setattr(simhash, "FEW", 100, raising=False)
     draw = random.Random(6)
     prints = {draw.getrandbits(63) for _ in range(500)} | {(7 << 32) ^ (1 << i) ^ (1 << j) for i in range(20) for j in range(i)}
     links = simhash.links(common.staged(spark.createDataFrame([(p,) for p in prints], "fp long"), "prints"))
